@@ -26,6 +26,12 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arcweave.llm.quality_rules import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arcweave.llm.packing import pack_documents
 
@@ -33,7 +39,7 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_extract, op9_pack)}
+    return {f.__name__: f for f in (op2_html_extract, op8_quality_rules, op9_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
