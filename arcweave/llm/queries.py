@@ -26,6 +26,18 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arcweave.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arcweave.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arcweave.llm.quality_rules import quality_report
 
@@ -39,8 +51,10 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_extract, op8_quality_rules, op9_pack)}
+    return {f.__name__: f for f in (op2_html_extract, op4_line_dedup, op6_mix, op8_quality_rules, op9_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from arcweave.llm import line_dedup
+
+    return {"op4_line_dedup": line_dedup.SQL}
