@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arcweave.llm.token_count import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary(PIECES))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arcweave.llm.mixing import mix
 
@@ -51,7 +58,7 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_extract, op4_line_dedup, op6_mix, op8_quality_rules, op9_pack)}
+    return {f.__name__: f for f in (op2_html_extract, op4_line_dedup, op5_token_count, op6_mix, op8_quality_rules, op9_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
