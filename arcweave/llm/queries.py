@@ -57,8 +57,15 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
 
 
+def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arcweave.llm.classifier import classify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_extract, op4_line_dedup, op5_token_count, op6_mix, op8_quality_rules, op9_pack)}
+    return {f.__name__: f for f in (op2_html_extract, op4_line_dedup, op5_token_count, op6_mix, op8_quality_rules, op9_pack, op10_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
