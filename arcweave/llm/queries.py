@@ -45,6 +45,12 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arcweave.llm.pii import pseudonymize_documents
+
+    return pseudonymize_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arcweave.llm.quality_rules import quality_report
 
@@ -65,7 +71,7 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_extract, op4_line_dedup, op5_token_count, op6_mix, op8_quality_rules, op9_pack, op10_classifier)}
+    return {f.__name__: f for f in (op2_html_extract, op4_line_dedup, op5_token_count, op6_mix, op7_pii, op8_quality_rules, op9_pack, op10_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
