@@ -27,6 +27,12 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op3_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arcweave.llm.winnow import compare_edited
+
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arcweave.llm.line_dedup import dedup_lines
 
@@ -71,7 +77,7 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_extract, op4_line_dedup, op5_token_count, op6_mix, op7_pii, op8_quality_rules, op9_pack, op10_classifier)}
+    return {f.__name__: f for f in (op2_html_extract, op3_winnow, op4_line_dedup, op5_token_count, op6_mix, op7_pii, op8_quality_rules, op9_pack, op10_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
