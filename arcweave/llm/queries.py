@@ -21,6 +21,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arcweave.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arcweave.llm.html_extract import extract_pages
 
@@ -77,7 +83,7 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_extract, op3_winnow, op4_line_dedup, op5_token_count, op6_mix, op7_pii, op8_quality_rules, op9_pack, op10_classifier)}
+    return {f.__name__: f for f in (op1_simhash, op2_html_extract, op3_winnow, op4_line_dedup, op5_token_count, op6_mix, op7_pii, op8_quality_rules, op9_pack, op10_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
