@@ -32,9 +32,10 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.llm.rows import repeat_rows, row_key
 from arcweave.llm.text import n_words
 from arcweave.plans.lineage import materialize
 from arcweave.plans.ordering import number_rows
@@ -227,15 +228,7 @@ def mix(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str =
 
 def mixed_documents(docs: DataFrame, seed: int = 0, text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents as often as the mix takes them, columns unchanged."""
-    names = docs.columns
-    key = [F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("_a"), F.xxhash64(F.lit(1), *[F.col(f"`{c}`") for c in names]).alias("_b")]
-    sized = materialize(docs.select(*key, F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size")), "sizes")
-    taken = copies(sized, source_targets(sized), seed).groupBy("_a", "_b").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    rows = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc")).join(taken, ["_a", "_b"])
-    # rows equal in all columns share their copies; where these don't divide, the first rows give one more
-    each = F.col("_copies") / F.col("_rows")
-    whole = rows.where("_copies % _rows = 0").select("_doc", each.cast("int").alias("_n"))
-    rank = F.row_number().over(Window.partitionBy("_a", "_b").orderBy(F.lit(0)))
-    split = rows.where("_copies % _rows != 0").withColumn("_k", rank).select("_doc", (F.floor(each) + (F.col("_k") <= F.col("_copies") % F.col("_rows")).cast("int")).cast("int").alias("_n"))
-    every = whole.unionByName(split).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    return every.select(*[F.col("_doc")[c].alias(c) for c in names])
+    sized = docs.select(*row_key(docs), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"))
+    sized = materialize(sized, "sizes")
+    taken = copies(sized, source_targets(sized), seed)
+    return repeat_rows(docs, taken.groupBy("_a", "_b").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")))

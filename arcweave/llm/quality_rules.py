@@ -18,7 +18,7 @@ are kept; repeated rows are judged alike; other columns pass through
 from __future__ import annotations
 
 import math
-import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -77,25 +77,30 @@ def signals(text: Column) -> Column:
 
 #: Name, ratio over the signals, where it votes good (None: never), where bad, and whether more is worse.
 #: Rules that look for a defect abstain when they find none, as its absence says little.
-RULES: list[tuple[str, str, float | None, float, bool]] = [
-    ("too_short", "n_words", None, 19, False),
-    ("symbols", "n_symbols / greatest(n_words, 1)", None, 0.1, True),
-    ("bare_symbols", "n_bare / greatest(n_words, 1)", None, 0.1, True),
-    ("repeated_words", "n_repeat_words / greatest(n_words, 1)", None, 0.2, True),
-    ("repeated_lines", "lines.dup / greatest(lines.n, 1)", None, 0.3, True),
-    ("word_length", "abs(word_chars / greatest(n_words, 1) - 6)", None, 6, True),
-    ("capitals", "n_upper / greatest(word_chars, 1)", None, 0.4, True),
-    ("function_words", "n_function / greatest(n_words, 1)", 0.08, 0.02, False),
-    ("plain_words", "n_plain / greatest(n_words, 1)", 0.85, 0.6, False),
-    ("sentence_ends", "lines.ended / greatest(lines.n, 1)", 0.5, 0.1, False),
+RULES: list[tuple[str, Callable[[Column], Column], float | None, float, bool]] = [
+    ("too_short", lambda s: s["n_words"], None, 19, False),
+    ("symbols", lambda s: _per_word(s, "n_symbols"), None, 0.1, True),
+    ("bare_symbols", lambda s: _per_word(s, "n_bare"), None, 0.1, True),
+    ("repeated_words", lambda s: _per_word(s, "n_repeat_words"), None, 0.2, True),
+    ("repeated_lines", lambda s: s["lines"]["dup"] / F.greatest(s["lines"]["n"], F.lit(1)), None, 0.3, True),
+    ("word_length", lambda s: F.abs(_per_word(s, "word_chars") - 6), None, 6, True),
+    ("capitals", lambda s: s["n_upper"] / F.greatest(s["word_chars"], F.lit(1)), None, 0.4, True),
+    ("function_words", lambda s: _per_word(s, "n_function"), 0.08, 0.02, False),
+    ("plain_words", lambda s: _per_word(s, "n_plain"), 0.85, 0.6, False),
+    ("sentence_ends", lambda s: s["lines"]["ended"] / F.greatest(s["lines"]["n"], F.lit(1)), 0.5, 0.1, False),
 ]
+NAMES = [r[0] for r in RULES]
 
 
-def votes(found: str = "signals") -> list[Column]:
-    """One column a rule: 1 good, -1 bad, 0 for no opinion."""
+def _per_word(found: Column, count: str) -> Column:
+    return found[count] / F.greatest(found["n_words"], F.lit(1))
+
+
+def votes(found: Column) -> list[Column]:
+    """One column a rule, from the struct of signals: 1 good, -1 bad, 0 for no opinion."""
     out = []
     for name, ratio, good, bad, more_is_worse in RULES:
-        x = F.expr(_qualified(ratio, found))
+        x = ratio(found)
         vote = F.when(x >= bad if more_is_worse else x <= bad, -1)
         if good is not None:
             vote = vote.when(x <= good if more_is_worse else x >= good, 1)
@@ -103,11 +108,6 @@ def votes(found: str = "signals") -> list[Column]:
     return out
 
 
-def _qualified(ratio: str, struct: str) -> str:
-    """The expression with its signals looked up in the struct column."""
-    return re.sub(r"\b(?:n_\w+|word_chars|lines\.\w+)", lambda m: f"{struct}.{m[0]}", ratio)
-
-
 def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 50, prior: float = 0.8, strength: float = 10.0) -> tuple[float, list[float]]:
     """EM over vote patterns: the log odds of good, and the log odds that each rule's vote is right.
 
@@ -134,13 +134,11 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 50, prior: floa
     return math.log(share / (1 - share)), [math.log(a / (1 - a)) for a in right]
 
 
-def fitted_posterior(voted: DataFrame) -> Column:
-    """Posterior probability of good as an expression over the vote columns, fitted to all rows of ``voted``."""
-    names = [r[0] for r in RULES]
-    counts = {tuple(r[n] for n in names): r["_n"] for r in voted.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).collect()}
+def fit(voted: DataFrame) -> Callable[[list[Column]], Column]:
+    """Fits to all rows of the vote columns; gives the posterior probability of good as an expression over votes."""
+    counts = {tuple(r[n] for n in NAMES): r["_n"] for r in voted.groupBy(*NAMES).agg(F.count(F.lit(1)).alias("_n")).collect()}
     odds, weights = estimate(counts)
-    total = reduce(lambda a, b: a + b, [F.col(n) * w for n, w in zip(names, weights, strict=True)], F.lit(odds))
-    return 1 / (1 + F.exp(-total))
+    return lambda given: 1 / (1 + F.exp(-reduce(lambda a, b: a + b, [v * w for v, w in zip(given, weights, strict=True)], F.lit(odds))))
 
 
 def base_failed(found: Column) -> Column:
@@ -149,20 +147,18 @@ def base_failed(found: Column) -> Column:
 
 def quality_report(docs: DataFrame, min_quality: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, votes, posterior and verdict of every document."""
-    found = docs.select(F.col(id_col).alias("doc_id"), signals(F.col(text_col)).alias("signals"))
-    voted = materialize(found.select("*", *votes()), "votes")
-    quality = fitted_posterior(voted)
+    judged = let(signals(F.col(text_col)), lambda s: F.struct(s.alias("signals"), F.struct(*votes(s)).alias("votes")))
+    voted = materialize(docs.select(F.col(id_col).alias("doc_id"), judged.alias("judged")).select("doc_id", "judged.signals", "judged.votes.*"), "votes")
+    quality = fit(voted)([F.col(n) for n in NAMES])
     failed = base_failed(F.col("signals"))
     return voted.select(
         "doc_id", "signals.n_words", "signals.word_chars", "signals.n_symbols", F.col("signals.lines.dup").alias("n_dup_lines"), "signals.n_repeat_words",
-        failed.alias("base_failed"), (~failed & (quality >= min_quality)).alias("kept"), quality.alias("posterior"), *[r[0] for r in RULES],
+        failed.alias("base_failed"), (~failed & (quality >= min_quality)).alias("kept"), quality.alias("posterior"), *NAMES,
     )
 
 
 def filter_quality(docs: DataFrame, min_quality: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents that the rules keep, with their columns."""
-    judged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), signals(F.col(f"`{text_col}`")).alias("signals"))
-    votes_only = judged.select(*votes())
-    quality = fitted_posterior(votes_only)
-    kept = judged.select("_doc", "signals", *votes()).where(~base_failed(F.col("signals")) & (quality >= min_quality))
-    return kept.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
+    """The documents that the rules keep, with their columns; two scans and no shuffle of texts."""
+    found = signals(F.col(f"`{text_col}`"))
+    posterior = fit(docs.select(let(found, lambda s: F.struct(*votes(s))).alias("votes")).select("votes.*"))
+    return docs.where(let(found, lambda s: ~base_failed(s) & (posterior(votes(s)) >= min_quality)))

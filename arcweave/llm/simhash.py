@@ -38,6 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.llm.rows import repeat_rows, row_key
 from arcweave.operators.components import component_labels
 from arcweave.plans.lineage import materialize
 
@@ -263,9 +264,10 @@ def links(vertices: DataFrame, tables: Tables, lanes: int, max_distance: int) ->
     return ready.mapInArrow(_linked(lanes, max_distance), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, max_distance: int = 4, differing: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, max_distance: int = 4, differing: float | None = None, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None) -> DataFrame:
     """``docs`` without its text, with ``fingerprint`` (of the first lane, hexadecimal) and ``component_id``.
 
+    ``group_col`` names a further column that tells groups apart even without ids.
     Tables are exact, or sampled for pairs that differ in a share ``differing`` of their bits.
     """
     rows = materialize(fingerprints(docs, words, lanes, id_col, text_col), "prints")
@@ -276,6 +278,26 @@ def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, max_distanc
     labels = component_labels(links(vertices, tables, lanes, max_distance)).withColumnRenamed("id", "vertex")
     grouped = materialize(vertices.join(labels, "vertex", "left").select("vertex", "print", "least", F.coalesce("component", "vertex").alias("component")), "labels")
     smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = grouped.join(smallest, "component").select("print", "component_id")
+    known = grouped.join(smallest, "component").select("print", "component_id", *([F.col("component").alias(group_col)] if group_col else []))
     shown = F.lower(F.concat(*[F.substring(F.hex("print"), 2 * byte + 1, 2) for byte in range(7, -1, -1)]))
-    return rows.join(known, "print").select(*[c for c in docs.columns if c != text_col], shown.alias("fingerprint"), "component_id")
+    return rows.join(known, "print").select(*[c for c in docs.columns if c != text_col], shown.alias("fingerprint"), "component_id", *([group_col] if group_col else []))
+
+
+#: A pair of texts that shares eight tenths of its shingles differs in this share of bits, on average.
+DIFFERING = 0.1514
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 4, max_distance: int = 46, differing: float | None = DIFFERING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group: that of the smallest id.
+
+    The defaults are for texts that share eight tenths or more of their runs of
+    five words. Their fingerprints then have an angle of arccos(16 / 18) or less,
+    so differ in 39 of 256 bits on average; the limit is one standard deviation
+    and a half above, and sampled tables bring together 97 of 100 such pairs.
+    """
+    rows = docs.select(*row_key(docs), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    groups = near_duplicates(rows, words, lanes, max_distance, differing, "_id", "_text", "_group")
+    first = groups.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_a").alias("a"), F.col("_b").alias("b"))).alias("f"))
+    keys = groups.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_rows"))
+    kept = first.select(F.col("f.a").alias("_a"), F.col("f.b").alias("_b")).join(keys, ["_a", "_b"])
+    return repeat_rows(docs, kept.select("_a", "_b", F.lit(1).alias("_copies"), "_rows"))
