@@ -1 +1 @@
-
+"""Column functions: integer codes and adjacency encodings."""

@@ -30,8 +30,8 @@ def component_labels(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     Self-loops only name their vertex.
     """
     u, v = F.col("u"), F.col("v")
-    alone = edges.where(u == v).select(u.alias("id"))
-    now = materialize(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
+    given = materialize(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
+    alone, now = given.where(u == v).select(u.alias("id")), given.where(u != v)
     sign = F.struct(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)))
     seen = now.agg(sign).first()[0]
     for _ in range(max_rounds):
