@@ -15,6 +15,11 @@ def _let(value: Column, body) -> Column:  # noqa: ANN001
     return F.transform(F.array(value), body)[0]
 
 
+def _power(exponent: Column) -> Column:
+    """2 to a power from 0 to 62."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), exponent.cast("int"))
+
+
 def _long(bits: Column) -> Column:
     """The number that a string of bits stands for; 0 for none."""
     return F.when(F.length(bits) > 0, F.conv(bits, 2, 10).cast("long")).otherwise(F.lit(0).cast("long"))
@@ -60,7 +65,7 @@ def minimal_binary(x: Column, z: Column) -> Column:
     """Minimal binary of 0 <= x < z: with s = ceil(log2 z), the first 2^s - z values take s - 1 bits, the rest s."""
 
     def word(s: Column) -> Column:
-        short = F.shiftleft(F.lit(1).cast("long"), s) - z
+        short = _power(s) - z
         return F.when(x < short, F.when(s > 1, F.lpad(F.bin(x), s - 1, "0")).otherwise("")).otherwise(F.lpad(F.bin(x + short), s, "0"))
 
     return F.when((x >= 0) & (x < z), _let(F.when(z > 1, F.length(F.bin(z - 1))).otherwise(0), word))
@@ -68,7 +73,7 @@ def minimal_binary(x: Column, z: Column) -> Column:
 
 def minimal_binary_decode(word: Column, z: Column) -> Column:
     def value(s: Column) -> Column:
-        return F.when(F.length(word) < s, _long(word)).otherwise(_long(word) - (F.shiftleft(F.lit(1).cast("long"), s) - z) * (F.length(word) > 0).cast("long"))
+        return F.when(F.length(word) < s, _long(word)).otherwise(_long(word) - (_power(s) - z) * (F.length(word) > 0).cast("long"))
 
     return _let(F.when(z > 1, F.length(F.bin(z - 1))).otherwise(0), value)
 
@@ -77,16 +82,16 @@ def zeta(x: Column, k: int) -> Column:
     """zeta_k of x >= 1: h + 1 in unary, where 2^(hk) <= x < 2^((h+1)k), then x - 2^(hk) in minimal binary of that block."""
 
     def word(h: Column) -> Column:
-        low = F.shiftleft(F.lit(1).cast("long"), h * k)
-        return F.concat(F.repeat(F.lit("0"), h), F.lit("1"), minimal_binary(x - low, F.shiftleft(low, k) - low))
+        low = _power(h * k)
+        return F.concat(F.repeat(F.lit("0"), h), F.lit("1"), minimal_binary(x - low, low * (1 << k) - low))
 
     return F.when(x >= 1, _let(F.floor((F.length(F.bin(x)) - 1) / k).cast("int"), word))
 
 
 def zeta_decode(word: Column, k: int) -> Column:
     def value(h: Column) -> Column:
-        low = F.shiftleft(F.lit(1).cast("long"), h * k)
-        return low + minimal_binary_decode(F.substring(word, h + 2, F.length(word)), F.shiftleft(low, k) - low)
+        low = _power(h * k)
+        return low + minimal_binary_decode(F.substring(word, h + 2, F.length(word)), low * (1 << k) - low)
 
     return _let((F.instr(word, "1") - 1).cast("int"), value)
 

@@ -347,17 +347,23 @@ def independent_set_check(spark: SparkSession, d: str) -> DataFrame:
 # --- flow and cuts -----------------------------------------------------------
 
 
-def _flow_query(method: str, engine: str = "kernel") -> None:
+def _flow_query(method: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         g = samples.part_seq(spark, d, 48)
-        return flow.max_flow(g, 0, _target(g), method, engine)
+        return flow.max_flow(g, 0, _target(g), method)
 
-    QUERIES[f"max_flow_{method}" + ("_relational" if engine == "relational" else "")] = run
+    QUERIES[f"max_flow_{method}"] = run
 
 
 for _method in ("edmonds_karp", "dinitz", "preflow"):
     _flow_query(_method)
-_flow_query("edmonds_karp", "relational")
+
+
+@query()
+def max_flow_relational(spark: SparkSession, d: str) -> DataFrame:
+    g = samples.part_seq(spark, d, 48)
+    target = traversal.bfs(g, 0, max_levels=2).agg(F.max_by("id", F.struct("level", "id"))).first()[0]
+    return flow.max_flow(g, 0, target, "edmonds_karp", "relational")
 
 
 @query("SELECT CAST(0 AS BIGINT) AS unbalanced, CAST(0 AS BIGINT) AS out_of_bounds, true AS cut_is_flow")
@@ -445,7 +451,7 @@ def _numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 X_SQL = "x AS (SELECT DISTINCT l_partkey + 1 AS x FROM lineitem)"
-MIN_BIN_SQL = "CASE WHEN {x} < (1 << {s}) - {z} THEN CASE WHEN {s} > 1 THEN lpad(bin({x}), {s} - 1, '0') ELSE '' END ELSE lpad(bin({x} + (1 << {s}) - {z}), {s}, '0') END"
+MIN_BIN_SQL = "CASE WHEN {x} < (1 << {s}) - {z} THEN CASE WHEN {s} > 1 THEN lpad(bin({x}), CAST({s} - 1 AS INTEGER), '0') ELSE '' END ELSE lpad(bin({x} + (1 << {s}) - {z}), CAST({s} AS INTEGER), '0') END"
 
 
 @query(f"WITH {X_SQL} SELECT x, repeat('0', length(bin(x)) - 1) || bin(x) AS gamma, repeat('0', length(bin(length(bin(x)))) - 1) || bin(length(bin(x))) || substr(bin(x), 2) AS delta FROM x")
