@@ -38,9 +38,10 @@ W = 8
 LOW = (1 << 31) - 1
 HIGH = ((1 << 32) - 1) << 31
 
-#: Rows that a sorted run of neighbours holds, about; and the most runs.
-RUN = 1000
+#: Rows that a sorted run of neighbours holds, about; the most runs; and the ids looked at for each bound of a run.
+RUN = 500
 MAX_RUNS = 1 << 16
+LOOKS = 16
 
 
 def _words(text: Column) -> Column:
@@ -113,15 +114,18 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W, id_col: str = "doc_id"
 def with_next(rows: DataFrame, columns: list[str], id_col: str = "doc_id", tie_col: str = "text") -> DataFrame:
     """Adds ``next_<column>`` of the following row in the order of id; one shuffle of the rows.
 
-    Ids that are picked by hash, at most ``MAX_RUNS`` or so, bound the runs. A
-    run's first id is one of these, so a row knows by itself whether it opens a
-    run and goes to the run before as well, where it ends the sequence.
+    Ids picked by hash bound the runs: some ``LOOKS`` for each run, at most
+    ``MAX_RUNS`` times that many, of which every ``LOOKS``-th is taken, so runs
+    come out even. A run's first id is one of these, so a row knows by itself
+    whether it opens a run and goes to the run before as well, where it ends the
+    sequence.
     """
     ids = rows.select(F.col(id_col).alias("id"))
     low, n = ids.agg(F.min("id"), F.count(F.lit(1))).first()
-    every = max(RUN, -(-n // MAX_RUNS))
+    every = max(1, max(RUN, -(-n // MAX_RUNS)) // LOOKS)
     picked = ids.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).distinct().collect() if n > RUN else []
-    bounds = sorted({r[0] for r in picked if r[0] is not None} | ({low} if low is not None else set()))
+    bounds = sorted(r[0] for r in picked if r[0] is not None)[LOOKS::LOOKS]
+    bounds = sorted({low, *bounds}) if low is not None else []
     if len(bounds) > 1:
         starts = F.lit(bounds)
         steps = [1 << s for s in range(len(bounds).bit_length() - 1, -1, -1)]
