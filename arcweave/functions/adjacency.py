@@ -28,8 +28,8 @@ def gap_decode(gaps: DataFrame) -> DataFrame:
 def reference_encode(lists: DataFrame, window: int = 3) -> DataFrame:
     """(id, reference, mask, residual): against the one of the ``window`` vertices before that shares most neighbours.
 
-    ``mask`` says for each neighbour of the reference whether it is copied;
-    ``residual`` holds the other neighbours. Without shared neighbours the
+    ``mask`` says for each neighbour of the reference whether it is left out;
+    ``residual`` holds the vertex's other neighbours. Without shared neighbours the
     reference is null, the mask empty and the residual the whole list. Vertices
     count in order of id; the order is a window over ranks dealt in buckets.
     """
@@ -43,18 +43,18 @@ def reference_encode(lists: DataFrame, window: int = 3) -> DataFrame:
     used = F.col("shared") > 0
     return chosen.select(
         "id", F.when(used, F.col("reference")).alias("reference"),
-        F.when(used, F.array_join(F.transform("theirs", lambda x: F.when(F.array_contains("neighbors", x), "1").otherwise("0")), "")).otherwise("").alias("mask"),
+        F.when(used, F.array_join(F.transform("theirs", lambda x: F.when(F.array_contains("neighbors", x), "0").otherwise("1")), "")).otherwise("").alias("mask"),
         F.when(used, F.array_except("neighbors", "theirs")).otherwise(F.col("neighbors")).alias("residual"),
     )
 
 
 def reference_encode_pair(neighbors: Column, theirs: Column) -> Column:
     """(mask, residual) of one list against another."""
-    return F.struct(F.array_join(F.transform(theirs, lambda x: F.when(F.array_contains(neighbors, x), "1").otherwise("0")), "").alias("mask"), F.array_except(neighbors, theirs).alias("residual"))
+    return F.struct(F.array_join(F.transform(theirs, lambda x: F.when(F.array_contains(neighbors, x), "0").otherwise("1")), "").alias("mask"), F.array_except(neighbors, theirs).alias("residual"))
 
 
 def reference_decode_pair(mask: Column, residual: Column, theirs: Column) -> Column:
-    copied = F.filter(theirs, lambda x, i: F.substring(mask, i + 1, F.lit(1)) == "1")
+    copied = F.filter(theirs, lambda x, i: F.substring(mask, i + 1, F.lit(1)) == "0")
     return F.sort_array(F.concat(copied, residual))
 
 

@@ -97,12 +97,12 @@ def zeta_decode(word: Column, k: int) -> Column:
 
 
 def move_to_front(symbols: Column, alphabet: Column) -> Column:
-    """Array of the places, from 1, of symbols in an alphabet whose last used symbol moves to its front; null outside it."""
+    """Array of the places, from 0, of symbols in an alphabet whose last used symbol moves to its front; null outside it."""
     start = F.struct(alphabet.alias("a"), F.array().cast("array<bigint>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         place = F.array_position(acc["a"], s)
-        return F.struct(F.when(place > 0, F.concat(F.array(s), F.array_remove(acc["a"], s))).otherwise(acc["a"]).alias("a"), F.concat(acc["out"], F.array(F.when(place > 0, place))).alias("out"))
+        return F.struct(F.when(place > 0, F.concat(F.array(s), F.array_remove(acc["a"], s))).otherwise(acc["a"]).alias("a"), F.concat(acc["out"], F.array(F.when(place > 0, place - 1))).alias("out"))
 
     return F.aggregate(symbols, start, step, lambda acc: acc["out"])
 
@@ -111,7 +111,7 @@ def move_to_front_decode(places: Column, alphabet: Column) -> Column:
     start = F.struct(alphabet.alias("a"), F.slice(alphabet, 1, 0).alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
-        s = F.get(acc["a"], (p - 1).cast("int"))
+        s = F.get(acc["a"], p.cast("int"))
         return F.struct(F.concat(F.array(s), F.array_remove(acc["a"], s)).alias("a"), F.concat(acc["out"], F.array(s)).alias("out"))
 
     return F.aggregate(places, start, step, lambda acc: acc["out"])
