@@ -24,20 +24,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.text import has_word, let, lines, words
+from arcweave.llm.text import has_word, let, lines, run_hashes, words
 from arcweave.plans.lineage import materialize
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 
 # Frequent function words of English, French, German and Spanish.
-FUNCTION_WORDS = "the of and to in is that for it with was on as are be this from at by an de la le les des et un une du que en est pour dans qui sur par au pas der die und das den von zu mit sich auf ist im dem nicht ein eine als auch el los las una por con del se no es al lo como más".split()
+FUNCTION_WORDS = [form for w in "the of and to in is that for it with was on as are be this from at by an de la le les des et un une du que en est pour dans qui sur par au pas der die und das den von zu mit sich auf ist im dem nicht ein eine als auch el los las una por con del se no es al lo como más".split() for form in (w, w.capitalize())]
+PLAIN = r"^[\p{L}'’-]+[.,;:!?]?$"
+BARE = r"^[^\p{L}\p{N}]+$"
 
 
 def _repeat_words(found: Column) -> Column:
     """Words inside windows of ``WINDOW`` words that occur twice or more in the text."""
-    size = F.size(found)
-    hashes = F.when(size >= WINDOW, F.transform(F.sequence(F.lit(1), size - WINDOW + 1), lambda i: F.xxhash64(F.slice(found, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    hashes = F.when(F.size(found) >= WINDOW, run_hashes(found, WINDOW)).otherwise(F.array().cast("array<bigint>"))
 
     def positions(ranked: Column) -> Column:
         same = lambda x, k: (F.get(ranked, k - 1)["h"] == x["h"]) | (F.get(ranked, k + 1)["h"] == x["h"])
@@ -63,12 +64,11 @@ def signals(text: Column) -> Column:
         return F.struct(
             F.size(found).cast("long").alias("n_words"),
             F.length(joined).cast("long").alias("word_chars"),
-            (F.length(joined) - F.length(F.translate(joined, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            (F.length(joined) - F.length(F.regexp_replace(joined, f"[{SYMBOLS}]", ""))).cast("long").alias("n_symbols"),
             let(worded, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.size(F.filter(x, lambda y: y.rlike(r"[.!?…:;][\"'»”)]?\s*$"))).cast("long").alias("ended"))).alias("lines"),
             _repeat_words(found).alias("n_repeat_words"),
-            F.size(F.filter(found, lambda w: F.lower(w).isin(FUNCTION_WORDS))).cast("long").alias("n_function"),
-            F.size(F.filter(found, lambda w: w.rlike(r"^[^\p{L}\p{N}]+$"))).cast("long").alias("n_bare"),
-            F.size(F.filter(found, lambda w: w.rlike(r"^[\p{L}'’-]+[.,;:!?]?$"))).cast("long").alias("n_plain"),
+            F.size(F.filter(found, lambda w: w.isin(FUNCTION_WORDS))).cast("long").alias("n_function"),
+            let(F.filter(found, lambda w: ~w.rlike(PLAIN)), lambda other: F.struct((F.size(found) - F.size(other)).cast("long").alias("plain"), F.size(F.filter(other, lambda w: w.rlike(BARE))).cast("long").alias("bare"))).alias("shapes"),
             (F.length(joined) - F.length(F.regexp_replace(joined, r"\p{Lu}", ""))).cast("long").alias("n_upper"),
         )
 
@@ -80,13 +80,13 @@ def signals(text: Column) -> Column:
 RULES: list[tuple[str, Callable[[Column], Column], float | None, float, bool]] = [
     ("too_short", lambda s: s["n_words"], None, 19, False),
     ("symbols", lambda s: _per_word(s, "n_symbols"), None, 0.1, True),
-    ("bare_symbols", lambda s: _per_word(s, "n_bare"), None, 0.1, True),
+    ("bare_symbols", lambda s: s["shapes"]["bare"] / F.greatest(s["n_words"], F.lit(1)), None, 0.1, True),
     ("repeated_words", lambda s: _per_word(s, "n_repeat_words"), None, 0.2, True),
     ("repeated_lines", lambda s: s["lines"]["dup"] / F.greatest(s["lines"]["n"], F.lit(1)), None, 0.3, True),
     ("word_length", lambda s: F.abs(_per_word(s, "word_chars") - 6), None, 6, True),
     ("capitals", lambda s: s["n_upper"] / F.greatest(s["word_chars"], F.lit(1)), None, 0.4, True),
     ("function_words", lambda s: _per_word(s, "n_function"), 0.08, 0.02, False),
-    ("plain_words", lambda s: _per_word(s, "n_plain"), 0.85, 0.6, False),
+    ("plain_words", lambda s: s["shapes"]["plain"] / F.greatest(s["n_words"], F.lit(1)), 0.85, 0.6, False),
     ("sentence_ends", lambda s: s["lines"]["ended"] / F.greatest(s["lines"]["n"], F.lit(1)), 0.5, 0.1, False),
 ]
 NAMES = [r[0] for r in RULES]
@@ -115,7 +115,7 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 50, prior: floa
     there by ``strength`` pseudo-documents, so that a rule that rarely votes
     keeps a sensible estimate. A rule is taken to be better than chance.
     """
-    n_rules = len(next(iter(patterns), ()))
+    n_rules = len(next(iter(patterns), NAMES))
     total = sum(patterns.values())
     share, right = prior, [prior] * n_rules
     for _ in range(rounds if total else 0):

@@ -26,12 +26,10 @@ are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcweave.llm.text import SPACE, let
+from arcweave.llm.text import SPACE, let, run_hashes, shifted
 
 K = 5
 W = 8
@@ -49,27 +47,9 @@ def _words(text: Column) -> Column:
     return let(parts, lambda p: F.when(F.array_contains(p, ""), F.filter(p, lambda w: w != "")).otherwise(p))
 
 
-def _shifted(a: Column, b: Column, by: int, f: Callable[[Column, Column], Column]) -> Column:
-    """``f(a[i], b[i + by])`` for all i where both are there."""
-    n = F.size(b) - by
-    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(by + 1), n), f)
-
-
 def _grams(words: Column, k: int) -> Column:
-    """Hashes of all runs of k words, by doubling; a shorter text gives one hash of all."""
-
-    def of(single: Column) -> Column:
-        def build(have: Column | None, length: int, power: Column, size: int) -> Column:
-            """``have`` covers ``length`` words from i on; ``power`` covers ``size``; bits of k not yet used lie at or above ``size``."""
-            if k & size:
-                have, length = (power, size) if have is None else (_shifted(have, power, length, lambda x, y: F.xxhash64(x, y)), length + size)
-            if length == k:
-                return have
-            return let(_shifted(power, power, size, lambda x, y: F.xxhash64(x, y)), lambda p: build(have, length, p, 2 * size))
-
-        return build(None, 0, single, 1)
-
-    return F.when(F.size(words) >= k, let(F.transform(words, lambda w: F.xxhash64(w)), of)).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+    """Hashes of all runs of k words; a shorter text gives one hash of all."""
+    return F.when(F.size(words) >= k, run_hashes(words, k)).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _window_minima(values: Column, w: int) -> Column:
@@ -79,7 +59,7 @@ def _window_minima(values: Column, w: int) -> Column:
         if size == w:
             return a
         step = min(size, w - size)
-        return let(_shifted(a, a, step, lambda x, y: F.least(x, y)), lambda b: build(b, size + step))
+        return let(shifted(a, a, step, lambda x, y: F.least(x, y)), lambda b: build(b, size + step))
 
     return F.when(F.size(values) >= w, build(values, 1)).when(F.size(values) > 0, F.array(F.array_min(values))).otherwise(values)
 
