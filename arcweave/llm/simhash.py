@@ -268,8 +268,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, max_distanc
     """``docs`` without its text, with ``fingerprint`` (of the first lane, hexadecimal) and ``component_id``.
 
     ``group_col`` names a further column that tells groups apart even without ids.
+    Columns of ``docs`` named print, fingerprint or component_id are replaced.
     Tables are exact, or sampled for pairs that differ in a share ``differing`` of their bits.
     """
+    docs = docs.drop("print", "fingerprint", "component_id")
     rows = materialize(fingerprints(docs, words, lanes, id_col, text_col), "prints")
     vertices = rows.groupBy("print").agg(F.min(id_col).alias("least"))
     vertices = materialize(vertices.select(F.xxhash64("print").alias("vertex"), "print", "least"), "vertices")
@@ -277,7 +279,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, max_distanc
     tables = Tables.exact(64 * lanes, max_distance, n) if differing is None else Tables.sampled(64 * lanes, n, differing)
     labels = component_labels(links(vertices, tables, lanes, max_distance)).withColumnRenamed("id", "vertex")
     grouped = materialize(vertices.join(labels, "vertex", "left").select("vertex", "print", "least", F.coalesce("component", "vertex").alias("component")), "labels")
-    smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    # written, so that the join below has two plain exchanges and a large component can be split
+    smallest = materialize(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "groups")
     known = grouped.join(smallest, "component").select("print", "component_id", *([F.col("component").alias(group_col)] if group_col else []))
     shown = F.lower(F.concat(*[F.substring(F.hex("print"), 2 * byte + 1, 2) for byte in range(7, -1, -1)]))
     return rows.join(known, "print").select(*[c for c in docs.columns if c != text_col], shown.alias("fingerprint"), "component_id", *([group_col] if group_col else []))
