@@ -111,7 +111,7 @@ def stacked(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.1, decay: float = 1e-5, seed: int = 0) -> Machine:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.2, decay: float = 1e-5, seed: int = 0) -> Machine:
     """Adagrad on the logistic loss."""
     good = (labels.sum() + 1) / (len(labels) + 2)
     draw = np.random.default_rng(seed)

@@ -146,6 +146,8 @@ class Reader(HTMLParser):
         self.parts.append(data)
 
     def close(self) -> None:
+        if self.rawdata.startswith("<!--") and not self.cdata_elem:
+            self.rawdata = ""
         super().close()
         self.line_ends()
 

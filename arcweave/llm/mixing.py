@@ -5,8 +5,10 @@ Each source gets a target number of words; a document of it is wanted
 are rounded dependently: two documents meet, probability mass is moved at
 random between them, keeping the expected number of words, until one is 0 or 1,
 and the other meets the next document. So a source's words come out at its
-target up to the size of the last document, and no document's expected number
-of copies is bent.
+target up to about the size of the last document, and no document is taken less
+often than the whole part says, or more often than once above it. In a source of
+few documents the smallest make up for the larger ones' draws, so their chances
+are not exactly the fractional part.
 
 The rounding is a reduction tree. Documents that hold more than a
 ``1 / fine`` share of their source (fewer than ``fine`` in any source, as the
@@ -114,6 +116,8 @@ def round_large(sizes: list[int], wanted: float, rest: int, *key: object) -> tup
     copies = [0] * len(sizes)
     left = float(sum(sizes) + rest)
     due = wanted * left  # words still to come from what is not yet met
+    floor = min(int(wanted + EPSILON), 2)
+    ceiling = floor if wanted - floor <= EPSILON else floor + 1
     held, p, base = -1, 0.0, 0
 
     def settle() -> None:
@@ -126,7 +130,7 @@ def round_large(sizes: list[int], wanted: float, rest: int, *key: object) -> tup
         if held >= 0 and sizes[held] > 2 * size:
             settle()
             held = -1
-        each = min(2.0, max(0.0, due / left))
+        each = min(float(ceiling), max(float(floor), due / left))
         whole = min(int(each + EPSILON), 2)
         q = each - whole
         left -= size
@@ -147,7 +151,7 @@ def round_large(sizes: list[int], wanted: float, rest: int, *key: object) -> tup
                 held = -1
     if held >= 0:
         settle()
-    return copies, min(2.0, max(0.0, due / rest)) if rest else 0.0
+    return copies, min(float(ceiling), max(float(floor), due / rest)) if rest else wanted
 
 
 def _round_groups(seed: int, level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:

@@ -42,6 +42,9 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Texts made of these characters alone take the rank-based encoder; others the tokenizer itself.
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧‰-⁞]*")
 
+#: A piece that leaves no more than this share of a sequence is taken before any pair.
+CLOSE = 0.05
+
 #: A text is encoded in parts of about so many characters, cut where a token can't span.
 PART = 1_000_000
 CUT = re.compile(r"(?<=[a-z]) (?=[a-z])")
@@ -163,7 +166,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     table = patterns([int(n) for n in np.flatnonzero(left)], capacity)
     repeats = fit(table, left)
     for j in np.argsort(-repeats, kind="stable"):
-        if repeats[j] < 1:
+        if repeats[j] < 2:  # what doesn't repeat is packed better one by one
             break
         row = [int(n) for n in table[j] if n]
         times = min(int(repeats[j]), *(int(left[n]) // row.count(n) for n in row))
@@ -175,7 +178,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """The longest piece first, then what fills its room exactly by one or two pieces, else the longest that fits."""
+    """The longest piece first, then one that all but fills its room, else two that fill it exactly, else the longest that fits."""
     out = []
     sizes = [int(n) for n in np.flatnonzero(left)]
     while sizes:
@@ -192,12 +195,16 @@ def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], in
                 take(room)
                 break
             upper = bisect_right(sizes, room)
+            single = next((a for a in reversed(sizes[:upper]) if has(a)), None)
+            if single and room - single <= CLOSE * capacity:
+                take(single)
+                room -= single
+                continue
             pair = next((a for a in reversed(sizes[:upper]) if 2 * a >= room and has(a) and has(room - a) and (2 * a != room or free.get(a, int(left[a])) > 1)), None)
             if pair:
                 take(pair)
                 take(room - pair)
                 break
-            single = next((a for a in reversed(sizes[:upper]) if has(a)), None)
             if not single:
                 break
             take(single)

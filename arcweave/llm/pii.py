@@ -216,5 +216,6 @@ def pseudonymize(text: Column, key: str = KEY) -> Column:
 def pseudonymize_documents(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
     """The table with personal data in ``text`` replaced, and ``n_replaced`` beside it."""
     others = [c for c in docs.columns if c not in (text_col, "n_replaced")]
-    done = docs.select(*[F.col(f"`{c}`") for c in others], pseudonymize(F.col(f"`{text_col}`").cast("string"), key).alias("_done"))
-    return done.select(*[F.col(f"`{c}`") for c in others], F.col("_done.text").alias(text_col), "_done.n_replaced")
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others])
+    done = docs.select(row.alias("_row"), pseudonymize(F.col(f"`{text_col}`").cast("string"), key).alias("_done"))
+    return done.select(*[F.col("_row")[c].alias(c) for c in others], F.col("_done.text").alias(text_col), "_done.n_replaced")
