@@ -70,7 +70,7 @@ def test_rounding_keeps_expectations():
     for seed in range(3000):
         rounded, held, p = mixing.chain([10] * 50, [0.25] * 50, seed)
         assert held < 0 or 0 < p < 1
-        hits = [h + r for h, r in zip(hits, rounded, strict=True)]
+        hits = [h + r + (p if k == held else 0) for k, (h, r) in enumerate(zip(hits, rounded, strict=True))]
         out.append(sum(rounded) + (p if held >= 0 else 0))
     assert all(x == pytest.approx(12.5) for x in out) and all(abs(h / 3000 - 0.25) < 0.04 for h in hits)
 
