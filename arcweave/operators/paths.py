@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from arcweave.graph import Graph
 from arcweave.kernels import search
 from arcweave.plans.kernels import on_graph
-from arcweave.plans.lineage import materialize
+from arcweave.plans.lineage import materialize, partitioned
 
 PATH = "step int, src long, dst long, cost double"
 
@@ -46,13 +46,14 @@ def _step(labels: DataFrame, open_: DataFrame, arcs: DataFrame, best: float | No
 
 def _relaxed(g: Graph, source: int, bound: int | None = None) -> DataFrame:
     """(id, distance, hops) by rounds of relaxation; ``bound`` is a target whose label prunes longer ones."""
-    arcs = g.arcs().select("src", "dst", "weight")
+    arcs = partitioned(g.arcs().select("src", "dst", "weight"), "src")
     labels = open_ = g.edges.sparkSession.createDataFrame([(source, 0.0, 0)], LABELS)
     while True:
         best = None if bound is None else labels.where(F.col("id") == bound).agg(F.min("distance")).first()[0]
         merged = _step(labels, open_, arcs, best)
         labels, open_ = merged.select("id", "distance", "hops"), merged.where("moved").select("id", "distance", "hops")
         if open_.isEmpty():
+            arcs.unpersist()
             return labels
 
 
@@ -146,6 +147,7 @@ def _two_sided(g: Graph, source: int, target: int) -> DataFrame:
     if source == target:
         return spark.createDataFrame([], PATH)
     graphs = [g, g.reverse()]
+    sides = [partitioned(x.arcs().select("src", "dst", "weight"), "src") for x in graphs]
     labels = [spark.createDataFrame([(v, 0.0, 0)], LABELS) for v in (source, target)]
     open_ = list(labels)
     best = None
@@ -154,10 +156,11 @@ def _two_sided(g: Graph, source: int, target: int) -> DataFrame:
         if not tops[0][0] or not tops[1][0] or (best is not None and tops[0][1] + tops[1][1] >= best):
             break
         k = 0 if tops[0][0] <= tops[1][0] else 1
-        arcs = graphs[k].arcs().select("src", "dst", "weight")
-        merged = _step(labels[k], open_[k], arcs, best)
+        merged = _step(labels[k], open_[k], sides[k], best)
         labels[k], open_[k] = merged.select("id", "distance", "hops"), merged.where("moved").select("id", "distance", "hops")
         best = labels[0].join(labels[1].select("id", F.col("distance").alias("back")), "id").agg(F.min(F.col("distance") + F.col("back"))).first()[0]
+    for side in sides:
+        side.unpersist()
     if best is None:
         return spark.createDataFrame([], PATH)
     middle = labels[0].join(labels[1].select("id", F.col("distance").alias("back")), "id").where(F.col("distance") + F.col("back") == best).agg(F.min("id")).first()[0]

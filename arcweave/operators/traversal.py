@@ -10,10 +10,12 @@ from arcweave.graph import Graph
 from arcweave.kernels import search
 from arcweave.operators.components import component_labels
 from arcweave.plans.kernels import on_components, on_graph
-from arcweave.plans.lineage import materialize
+from arcweave.plans.lineage import materialize, partitioned
 from arcweave.plans.ordering import number_rows
 
 TREE = "id long, level int, parent long"
+#: Levels after which the visited vertices are written as one table, so that plans stay short.
+COMPACT = 16
 
 
 def bfs(g: Graph, root: int = 0, parent: str = "id", max_levels: int | None = None, engine: str = "auto") -> DataFrame:
@@ -42,25 +44,26 @@ def bfs(g: Graph, root: int = 0, parent: str = "id", max_levels: int | None = No
             return [x for x in found if max_levels is None or x[1] <= max_levels]
 
         return on_graph(g, kernel, TREE)
-    arcs = g.arcs()
-    spark = g.edges.sparkSession
-    levels = [spark.createDataFrame([(root, 0, None, 0)], "id long, level int, parent long, rank long")]
-    seen, level = levels[0], 0
+    arcs = partitioned(g.arcs(), "src")
+    near = seen = g.edges.sparkSession.createDataFrame([(root, 0, None, 0)], "id long, level int, parent long, rank long")
+    level = 0
     while max_levels is None or level < max_levels:
         level += 1
         via = F.min(F.struct("rank", "ord", F.col("near.id").alias("parent"))) if parent == "queue" else F.min("near.id")
-        step = levels[-1].alias("near").join(arcs, F.col("near.id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(via.alias("via"))
+        step = near.alias("near").join(arcs, F.col("near.id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(via.alias("via"))
         step = step.join(seen.select("id"), "id", "left_anti")
         if parent == "queue":
             step = number_rows(step.select("id", "via.rank", "via.ord", "via.parent"), F.col("rank"), F.col("ord"), F.col("parent"), name="place")
             step = step.select("id", F.lit(level).alias("level"), "parent", F.col("place").alias("rank"))
         else:
             step = step.select("id", F.lit(level).alias("level"), F.col("via").alias("parent"), F.lit(0).cast("long").alias("rank"))
-        step = materialize(step, "level")
-        if step.isEmpty():
+        near = materialize(step, "level")
+        if near.isEmpty():
             break
-        levels.append(step)
-        seen = seen.union(step)
+        seen = seen.union(near)
+        if level % COMPACT == 0:
+            seen = materialize(seen, "seen")
+    arcs.unpersist()
     return seen.select("id", "level", "parent")
 
 

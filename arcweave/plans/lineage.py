@@ -37,6 +37,15 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitioned(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by a key and kept on the executors, so that joins on the key in a loop move it once.
+
+    Lost partitions are made again from the tables behind ``df``. The caller
+    unpersists it when the loop ends.
+    """
+    return df.repartition(key).persist()
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`materialize`; it can't be read afterwards."""
     spark = df.sparkSession

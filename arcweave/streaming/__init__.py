@@ -1 +1 @@
-
+"""Graph tables that follow a stream of edges."""
