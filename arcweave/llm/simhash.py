@@ -247,20 +247,27 @@ def _linked(lanes: int, max_distance: int) -> Callable[[Iterator], Iterator]:
 def links(vertices: DataFrame, tables: Tables, lanes: int, max_distance: int) -> DataFrame:
     """(u, v): pairs of vertices whose components are those of all links; ``vertices`` has vertex and print."""
     schema = "bucket long, vertex long, print binary"
-    dealt = vertices.select("vertex", "print").mapInArrow(_dealt(tables.first, lanes, False), schema)
-    large = lambda rows: rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MOST)
-    marked = dealt.join(large(dealt), "bucket", "left")
-    ready = marked.where("_n is null").select("bucket", "vertex", "print")
-    again = marked.where("_n is not null").select("bucket", "vertex", "print").mapInArrow(_dealt(tables.again, lanes, True), schema)
-    marked = again.join(large(again), "bucket", "left")
-    ready = ready.union(marked.where("_n is null").select("bucket", "vertex", "print"))
-    # what is still large: chunks, and every pair of chunks a bucket of its own
-    chunks = F.ceil(F.col("_n") / MOST).cast("int")
-    chunk = F.pmod(F.xxhash64("vertex"), chunks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), chunks - 1))
-    blocks = marked.where("_n is not null").select("*", chunk.alias("_a"), other.alias("_b"))
-    blocks = blocks.select(F.xxhash64("bucket", F.least("_a", "_b"), F.greatest("_a", "_b")).alias("bucket"), "vertex", "print")
-    ready = ready.union(blocks).repartition("bucket").sortWithinPartitions("bucket")
+
+    def large(rows: DataFrame) -> DataFrame | None:
+        """The buckets above ``MOST``, or None; only bucket names are shuffled."""
+        found = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MOST), "large")
+        return None if found.isEmpty() else found
+
+    ready = vertices.select("vertex", "print").mapInArrow(_dealt(tables.first, lanes, False), schema)
+    if (hot := large(ready)) is not None:
+        marked = ready.join(hot, "bucket", "left")
+        again = marked.where("_n is not null").select("bucket", "vertex", "print").mapInArrow(_dealt(tables.again, lanes, True), schema)
+        ready = marked.where("_n is null").select("bucket", "vertex", "print")
+        if (hot := large(again)) is not None:
+            marked = again.join(hot, "bucket", "left")
+            again = marked.where("_n is null").select("bucket", "vertex", "print")
+            # what is still large: chunks, and every pair of chunks a bucket of its own
+            chunks = F.ceil(F.col("_n") / MOST).cast("int")
+            chunk = F.pmod(F.xxhash64("vertex"), chunks).cast("int")
+            blocks = marked.where("_n is not null").select("*", chunk.alias("_a"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("_b"))
+            ready = ready.union(blocks.select(F.xxhash64("bucket", F.least("_a", "_b"), F.greatest("_a", "_b")).alias("bucket"), "vertex", "print"))
+        ready = ready.union(again)
+    ready = ready.repartition("bucket").sortWithinPartitions("bucket")
     return ready.mapInArrow(_linked(lanes, max_distance), "u long, v long")
 
 
