@@ -158,7 +158,13 @@ def quality_report(docs: DataFrame, min_quality: float = 0.5, id_col: str = "doc
 
 
 def filter_quality(docs: DataFrame, min_quality: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents that the rules keep, with their columns; two scans and no shuffle of texts."""
-    found = signals(F.col(f"`{text_col}`"))
-    posterior = fit(docs.select(let(found, lambda s: F.struct(*votes(s))).alias("votes")).select("votes.*"))
-    return docs.where(let(found, lambda s: ~base_failed(s) & (posterior(votes(s)) >= min_quality)))
+    """The documents that the rules keep, with their columns.
+
+    Signals are the costly part, so documents are written once with their votes;
+    the fit reads the votes alone, and the verdict needs no text and no shuffle.
+    """
+    judged = let(signals(F.col(f"`{text_col}`")), lambda s: F.struct(base_failed(s).alias("failed"), F.struct(*votes(s)).alias("votes")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), judged.alias("judged"))
+    rows = materialize(rows.select("doc", "judged.failed", "judged.votes.*"), "judged")
+    kept = rows.where(~F.col("failed") & (fit(rows)([F.col(n) for n in NAMES]) >= min_quality))
+    return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
