@@ -467,7 +467,8 @@ def codes_nibble(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {X_SQL}, z AS (SELECT x - 1 AS x, max(x) OVER () AS z FROM x), s AS (SELECT x, z, length(bin(z - 1)) AS s FROM z) SELECT x, {MIN_BIN_SQL.format(x='x', z='z', s='s')} AS word FROM s")
 def codes_minimal_binary(spark: SparkSession, d: str) -> DataFrame:
     numbers = _numbers(spark, d)
-    return numbers.crossJoin(numbers.agg(F.max("x").alias("z"))).select((F.col("x") - 1).alias("x"), codes.minimal_binary(F.col("x") - 1, F.col("z")).alias("word"))
+    numbers = numbers.crossJoin(numbers.agg(F.max("x").alias("z"))).select((F.col("x") - 1).alias("x"), "z")
+    return numbers.select("x", codes.minimal_binary(F.col("x"), F.col("z")).alias("word"))
 
 
 @query(f"WITH {X_SQL}, h AS (SELECT x, (length(bin(x)) - 1) // 3 AS h FROM x), b AS (SELECT x, h, x - (1 << (3 * h)) AS y, (1 << (3 * h + 3)) - (1 << (3 * h)) AS z FROM h), s AS (SELECT *, length(bin(z - 1)) AS s FROM b) SELECT x, repeat('0', h) || '1' || {MIN_BIN_SQL.format(x='y', z='z', s='s')} AS zeta FROM s")
