@@ -34,16 +34,28 @@ ASIDE = frozenset("aside dialog footer form menu nav search".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words of a class or id that declare an element to be no part of the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising adsense adslot alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer masthead menu menubar modal nav navbar navigation navi newsletter notice notices notification overlay pager pagination popup promo promoted promotion promotions related recommended recommendations replies reply respond rail share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
+#: Words of a class or id that declare a container to hold the article, where no element says so.
+HOLDS = frozenset("article content entry main post story".split())
 REGIONS = frozenset("article body div main section table td".split())
+#: Share of the marked text that a container must hold to be the article's; share of a line in links from which it is no text.
+MOST = 0.7
+LINKED = 0.8
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Line:
-    __slots__ = ("text", "ratio", "region", "within", "heading")
+    """``within`` numbers the article that holds the line, negative if only a class or id says so; 0 for none."""
 
-    def __init__(self, text: str, ratio: float, region: int, within: int, heading: bool) -> None:
-        self.text, self.ratio, self.region, self.within, self.heading = text, ratio, region, within, heading
+    __slots__ = ("text", "ratio", "links", "regions", "within")
+
+    def __init__(self, text: str, ratio: float, links: float, regions: tuple[int, ...], within: int) -> None:
+        self.text, self.ratio, self.links, self.regions, self.within = text, ratio, links, regions, within
+
+
+def marks(attrs: list[tuple[str, str | None]]) -> set[str]:
+    """Lower-case words of an element's class and id."""
+    return {w for name, value in attrs if name in ("class", "id") and value for w in WORD.findall(CAMEL.sub(" ", value).lower())}
 
 
 def declared_other(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
@@ -59,11 +71,9 @@ def declared_other(tag: str, attrs: list[tuple[str, str | None]], in_article: bo
             continue
         if name == "role" and value.strip().lower() in ROLES:
             return True
-        if name in ("class", "id") and not MARKS.isdisjoint(WORD.findall(CAMEL.sub(" ", value).lower())):
-            return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-    return False
+    return not MARKS.isdisjoint(marks(attrs))
 
 
 class Reader(HTMLParser):
@@ -72,7 +82,7 @@ class Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int, int]] = []  # tag, declared other, region, article
+        self.open: list[tuple[str, bool, tuple[int, ...], int]] = []  # tag, declared other, regions from the outermost, article
         self.parts: list[str] = []
         self.tags = self.linked = self.links = 0
         self.regions = 0
@@ -81,10 +91,9 @@ class Reader(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                tag, _, region, article = self.open[-1] if self.open else ("", False, 0, 0)
+                _, _, regions, article = self.open[-1] if self.open else ("", False, (0,), 0)
                 chars = max(0, len(text) - self.linked)
-                heading = any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, *_ in self.open[-3:])
-                self.lines.append(Line(text, chars / max(1, self.tags), region, article, heading))
+                self.lines.append(Line(text, chars / max(1, self.tags), 1 - chars / len(text), regions, article))
             self.parts = []
         self.tags = self.linked = 0
 
@@ -100,18 +109,20 @@ class Reader(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, other, region, article = self.open[-1] if self.open else ("", False, 0, 0)
+        _, other, regions, article = self.open[-1] if self.open else ("", False, (0,), 0)
         if tag == "body":
             other = False
         other = other or declared_other(tag, attrs, article > 0)
         if tag in REGIONS:
             self.regions += 1
-            region = self.regions
-            if tag in ("article", "main") and not other:
-                article = region
+            regions = (*regions, self.regions)
+            if not other and tag in ("article", "main"):
+                article = self.regions
+            elif not other and not article and tag != "body" and not HOLDS.isdisjoint(marks(attrs)):
+                article = -self.regions
         if tag == "a":
             self.links += 1
-        self.open.append((tag, other, region, article))
+        self.open.append((tag, other, regions, article))
 
     def close_implied(self, tag: str, stop: tuple[str, ...]) -> None:
         """A new item or paragraph ends an open one, unless a container stands between."""
@@ -186,20 +197,29 @@ def select(lines: list[Line], sigma: float) -> list[Line]:
     smoothed = smooth([x.ratio for x in lines], sigma)
     cut = threshold(smoothed)
     marked = [v >= cut for v in smoothed]
-    articles = {x.within for x in lines if x.within}
-    if articles:
-        chosen = {x.within for x, m in zip(lines, marked, strict=True) if m and x.within} or articles
+    total = sum(len(x.text) for x, m in zip(lines, marked, strict=True) if m)
+    chosen = {x.within for x, m in zip(lines, marked, strict=True) if m and x.within > 0} or {x.within for x in lines if x.within > 0}
+    if not chosen:
+        chosen = {x.within for x, m in zip(lines, marked, strict=True) if m and x.within}
+        if sum(len(x.text) for x, m in zip(lines, marked, strict=True) if m and x.within) < MOST * total:
+            chosen = set()
+    if chosen:
         return [x for x in lines if x.within in chosen]
-    out: list[Line] = []
-    for region in dict.fromkeys(x.region for x, m in zip(lines, marked, strict=True) if m):
-        own = [k for k, x in enumerate(lines) if x.region == region]
-        hits = [k for k in own if marked[k]]
-        first = hits[0]
-        while own[0] < first and lines[own[own.index(first) - 1]].heading:
-            first = own[own.index(first) - 1]
-        out += [lines[k] for k in own if first <= k <= hits[-1]]
-    order = {id(x): k for k, x in enumerate(lines)}
-    return sorted(out, key=lambda x: order[id(x)])
+    # no element says where the article is: the innermost container of most of the marked text
+    weight: dict[int, int] = {}
+    for x, m in zip(lines, marked, strict=True):
+        for region in x.regions if m else ():
+            weight[region] = weight.get(region, 0) + len(x.text)
+    region = max((r for r, n in weight.items() if n >= MOST * total), default=0)
+    own = [k for k, x in enumerate(lines) if region in x.regions]
+    hits = [k for k in own if marked[k]]
+    first, last = own.index(hits[0]), own.index(hits[-1])
+    # lines around the marked ones belong to it as well, unless they are links
+    while first and lines[own[first - 1]].links < LINKED:
+        first -= 1
+    while last + 1 < len(own) and lines[own[last + 1]].links < LINKED:
+        last += 1
+    return [lines[k] for k in own[first : last + 1] if marked[k] or lines[k].links < LINKED]
 
 
 def main_text(html: str | None, sigma: float = 1.0) -> str:

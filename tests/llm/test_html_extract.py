@@ -36,6 +36,20 @@ def test_without_article_element():
     assert main_text(page) == f"Title\n{LONG}\n{LONG}\nShort.\n{LONG}"
 
 
+@pytest.mark.parametrize("open_", ['<div id="content">', '<div class="postBody entry">', "<main>", "<div>", "<td>"])
+def test_containers(open_):
+    close = "</" + open_[1:].split()[0].strip(">") + ">"
+    menu = "<ul>" + "".join(f"<li><a href='/{k}'>Item number {k}</a></li>" for k in range(9)) + "</ul>"
+    body = f"<h2>Title</h2><p>{LONG}</p><section><h3>Part</h3><p>Tiny.</p><blockquote>Quoted words</blockquote></section><p>{LONG}</p><p>{LONG}</p><p>End.</p>"
+    page = f"<html><body><div>{menu}</div>{open_}{body}{close}<div>{menu}</div></body></html>"
+    assert main_text(page) == f"Title\n{LONG}\nPart\nTiny.\nQuoted words\n{LONG}\n{LONG}\nEnd."
+
+
+def test_misleading_class():
+    page = f'<body><div class="post-meta"><p>By a writer</p></div><div><p>{LONG}</p><p>{LONG}</p></div></body>'
+    assert main_text(page) == f"{LONG}\n{LONG}"
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<html></html>", "<nav>x</nav>", "<!-- open", "<script>open", "<", "&", "</p></p>"])
 def test_odd_pages(html):
     assert main_text(html) in ("", "<", "&")
