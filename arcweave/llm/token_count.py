@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 RUN = re.compile(f"{MARK}+[^{MARK}]*")
 PENALTY = 10.0
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 def read_vocabulary(path: str) -> list[tuple[str, float]]:
@@ -66,11 +66,11 @@ class Counter:
         count = [0] * (n + 1)
         open_run = [False] * (n + 1)  # the best path ends with an unknown
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for at, found in self.automaton.iter(text):
+        for at, found in self.automaton.iter(text):  # the longest first at each place
             ends[at].append(found)
         for i, char in enumerate(text):
             best = None
-            for length, s in sorted(ends[i], reverse=True):
+            for length, s in ends[i]:
                 total = score[i + 1 - length] + s
                 if best is None or total > best:
                     best, start, unknown = total, i + 1 - length, False
