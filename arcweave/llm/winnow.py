@@ -26,6 +26,8 @@ are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,9 +93,11 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W, id_col: str = "doc_id"
     return found.select("doc_id", "points", as_string(F.col("points")).alias("fingerprint"))
 
 
-def with_next(rows: DataFrame, columns: list[str], id_col: str = "doc_id", tie_col: str = "text") -> DataFrame:
+def with_next(rows: DataFrame, columns: list[str], id_col: str = "doc_id", tie_col: str = "text", derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Adds ``next_<column>`` of the following row in the order of id; one shuffle of the rows.
 
+    ``derive`` may add columns once rows are dealt to runs, so that they are not shuffled.
+
     Ids picked by hash bound the runs: some ``LOOKS`` for each run, at most
     ``MAX_RUNS`` times that many, of which every ``LOOKS``-th is taken, so runs
     come out even. A run's first id is one of these, so a row knows by itself
@@ -119,16 +123,18 @@ def with_next(rows: DataFrame, columns: list[str], id_col: str = "doc_id", tie_c
     here = F.struct(F.col("_run").alias("run"), F.lit(0).alias("late"))
     before = F.struct(F.when(F.col("_run") > 0, F.col("_run") - 1).otherwise(last).alias("run"), F.when(F.col("_run") > 0, 1).otherwise(2).alias("late"))
     placed = rows.withColumn("_run", run).withColumn("_at", F.explode(F.when(opens, F.array(here, before)).otherwise(F.array(here))))
-    order = Window.partitionBy("_at.run").orderBy("_at.late", F.col(id_col).asc_nulls_last(), F.col(tie_col))
-    found = placed.withColumn("_next", F.lead(F.struct(*columns)).over(order)).where("_at.late = 0")
-    return found.select(*rows.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
+    placed = placed.select(*rows.columns, F.col("_at.run").alias("_run"), F.col("_at.late").alias("_late")).repartition("_run")
+    placed = derive(placed) if derive else placed
+    order = Window.partitionBy("_run").orderBy("_late", F.col(id_col).asc_nulls_last(), F.col(tie_col))
+    found = placed.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("_late = 0")
+    return found.drop("_run", "_late")
 
 
 def compare_edited(docs: DataFrame, k: int = K, w: int = W, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited form, whose second half is the start of the next document's text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("points", points(F.col("text"), k, w))
-    paired = with_next(own, ["text", "points"]).withColumn("n_chars", F.length("text").cast("long"))
+    own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    paired = with_next(own, ["text", "points"], derive=lambda rows: rows.withColumn("points", points(F.col("text"), k, w))).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))
     edited = paired.select("doc_id", "n_chars", edited.alias("edited"), "points", F.col("next_points").alias("next_points"))
