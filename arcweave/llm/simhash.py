@@ -7,9 +7,8 @@ over half of them. Documents link if their fingerprints differ in at most
 Search, without ever meeting all pairs:
 
 1. Equal fingerprints are one vertex; the smallest id stands for it.
-2. Tables bring together fingerprints that agree on some of their bits. With
-   ``exact`` tables (blocks of the bits, one more than can differ) no link is
-   lost; with ``sampled`` tables a stated share of links is found.
+2. Tables bring together fingerprints that agree on some of their bits: blocks
+   of the bits, one more than can differ, so no link is lost.
 3. Within a bucket a pivot table is computed, the Hamming distances to fixed
    reference fingerprints; by the triangle inequality a pair whose coordinates
    differ by more than ``max_distance`` anywhere is discarded, and the rest are
@@ -120,15 +119,6 @@ class Tables:
         first = tuple(sum(keep, ()) for keep in combinations(cut, blocks - max_distance))
         return Tables(first, tuple(tuple(range(k, bits, max_distance + 1)) for k in range(max_distance + 1)))
 
-    @staticmethod
-    def sampled(bits: int, rows: int, differing: float, found: float = 0.97) -> Tables:
-        """Random positions: as many tables as find a pair with a share ``differing`` of its bits with probability ``found``."""
-        width = min(24, max(14, rows.bit_length() - 5))
-        draw = np.random.default_rng(SEED)
-        sets = lambda n, k: tuple(tuple(int(x) for x in sorted(draw.choice(bits, k, replace=False))) for _ in range(n))
-        many = lambda k: int(np.ceil(np.log(1 - found) / np.log(1 - (1 - differing) ** k)))
-        return Tables(sets(many(width), width), sets(many(6), 6))
-
 
 def _bits(prints: np.ndarray) -> np.ndarray:
     return np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
@@ -271,19 +261,18 @@ def links(vertices: DataFrame, tables: Tables, lanes: int, max_distance: int) ->
     return ready.mapInArrow(_linked(lanes, max_distance), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, max_distance: int = 4, differing: float | None = None, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, max_distance: int = 4, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None) -> DataFrame:
     """``docs`` without its text, with ``fingerprint`` (of the first lane, hexadecimal) and ``component_id``.
 
     ``group_col`` names a further column that tells groups apart even without ids.
     Columns of ``docs`` named print, fingerprint or component_id are replaced.
-    Tables are exact, or sampled for pairs that differ in a share ``differing`` of their bits.
     """
     docs = docs.drop("print", "fingerprint", "component_id")
     rows = materialize(fingerprints(docs, words, lanes, id_col, text_col), "prints")
     vertices = rows.groupBy("print").agg(F.min(id_col).alias("least"))
     vertices = materialize(vertices.select(F.xxhash64("print").alias("vertex"), "print", "least"), "vertices")
     n = vertices.count()
-    tables = Tables.exact(64 * lanes, max_distance, n) if differing is None else Tables.sampled(64 * lanes, n, differing)
+    tables = Tables.exact(64 * lanes, max_distance, n)
     labels = component_labels(links(vertices, tables, lanes, max_distance)).withColumnRenamed("id", "vertex")
     grouped = materialize(vertices.join(labels, "vertex", "left").select("vertex", "print", "least", F.coalesce("component", "vertex").alias("component")), "labels")
     # written, so that the join below has two plain exchanges and a large component can be split
@@ -293,20 +282,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, max_distanc
     return rows.join(known, "print").select(*[c for c in docs.columns if c != text_col], shown.alias("fingerprint"), "component_id", *([group_col] if group_col else []))
 
 
-#: A pair of texts that shares eight tenths of its shingles differs in this share of bits, on average.
-DIFFERING = 0.1514
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 4, max_distance: int = 46, differing: float | None = DIFFERING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group: that of the smallest id.
 
-    The defaults are for texts that share eight tenths or more of their runs of
-    five words. Their fingerprints then have an angle of arccos(16 / 18) or less,
-    so differ in 39 of 256 bits on average; the limit is one standard deviation
-    and a half above, and sampled tables bring together 97 of 100 such pairs.
+    Documents link if the Jaccard similarity of their sets of runs of ``words`` words
+    is ``similarity`` or more; all links are found and each is verified.
     """
+    from arcweave.llm.set_join import similar_groups
+
     rows = docs.select(*row_key(docs), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    groups = near_duplicates(rows, words, lanes, max_distance, differing, "_id", "_text", "_group")
+    groups = materialize(similar_groups(rows, words, similarity), "similar")
     first = groups.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_a").alias("a"), F.col("_b").alias("b"))).alias("f"))
     keys = groups.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_rows"))
     kept = first.select(F.col("f.a").alias("_a"), F.col("f.b").alias("_b")).join(keys, ["_a", "_b"])
