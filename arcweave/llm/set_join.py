@@ -282,7 +282,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     sketches = materialize(profiles.groupBy("vertex").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "sketches")
     some = shared.repartition("bucket").sortWithinPartitions("bucket", "vertex").mapInArrow(_by_bucket(_some, ("bucket", "vertex")), "u long, v long")
     some = materialize(some.distinct(), "pairs")
-    links = verified(materialize(_near(some, sketches, limit), "near"), profiles, docs, words, limit)
+    # one for each document here; whatever this leaves in different components meets below
+    near = _near(some, sketches, limit).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    links = verified(materialize(near, "near"), profiles, docs, words, limit)
     labels = materialize(component_labels(links), "labels")
     told = shared.join(labels.withColumnRenamed("id", "vertex"), "vertex", "left").select("bucket", "vertex", "pos", F.coalesce("component", "vertex").alias("component"))
     rest = _blocks(told).join(sketches, "vertex").repartition("bucket").sortWithinPartitions("bucket", "vertex")
