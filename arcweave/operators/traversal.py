@@ -83,19 +83,22 @@ def connected_components(g: Graph) -> DataFrame:
     return component_labels(g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
 
 
-def strongly_connected_components(g: Graph, max_rounds: int = 200) -> DataFrame:
+def strongly_connected_components(g: Graph, max_rounds: int | None = None) -> DataFrame:
     """(id, component): the largest id that a vertex both reaches and is reached from names its component.
 
     Forward coloring with the largest id that reaches a vertex, then backward
     search from each color's own vertex inside the color; the found components
-    leave and the rest goes on.
+    leave and the rest goes on. Every round takes a vertex at least, and searches
+    go on until nothing is new; ``max_rounds`` makes more rounds an error.
     """
     if not g.directed:
         return connected_components(g)
     spark = g.edges.sparkSession
     left, arcs = materialize(g.vertices.select("id"), "left"), g.edges.select("src", "dst").where("src <> dst")
     done = spark.createDataFrame([], "id long, component long")
-    for _ in range(max_rounds):
+    rounds = 0
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
         # vertices without an arc in or out are components of their own
         alive = left.join(arcs.select(F.col("src").alias("id")).distinct(), "id", "left_semi").join(arcs.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
         alive = materialize(alive, "alive")
@@ -106,35 +109,38 @@ def strongly_connected_components(g: Graph, max_rounds: int = 200) -> DataFrame:
         ids = alive.select("id")
         arcs = materialize(arcs.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), "arcs")
         if single.isEmpty():
-            color = _spread_largest(ids, arcs, max_rounds)
+            color = _spread_largest(ids, arcs)
             inside = arcs.join(color.select(F.col("id").alias("src"), F.col("color").alias("a")), "src").join(color.select(F.col("id").alias("dst"), F.col("color").alias("b")), "dst").where("a = b")
             inside = materialize(inside.select("src", "dst"), "inside")
             near = materialize(color.where("id = color").select("id", "color"), "near")
             found = near
-            for _ in range(max_rounds * 10):
+            level = 0
+            while True:
+                level += 1
                 step = near.join(inside, F.col("id") == F.col("dst")).select(F.col("src").alias("id"), "color").distinct().join(found, "id", "left_anti")
                 near = materialize(step, "near")
                 if near.isEmpty():
                     break
                 found = found.union(near)
+                if level % COMPACT == 0:
+                    found = materialize(found, "found")
             done = done.union(found.select("id", F.col("color").alias("component")))
             alive = alive.join(found, "id", "left_anti")
         left = materialize(alive, "left")
     raise RuntimeError(f"strong components did not settle in {max_rounds} rounds")
 
 
-def _spread_largest(ids: DataFrame, arcs: DataFrame, max_rounds: int) -> DataFrame:
+def _spread_largest(ids: DataFrame, arcs: DataFrame) -> DataFrame:
     """(id, color): the largest id from which each vertex can be reached."""
     color = materialize(ids.select("id", F.col("id").alias("color")), "color")
     changed = color
-    for _ in range(max_rounds * 10):
+    while True:
         step = changed.join(arcs, F.col("id") == F.col("src")).groupBy("dst").agg(F.max("color").alias("new"))
         merged = color.join(step, F.col("id") == F.col("dst"), "left").select("id", F.greatest("color", F.coalesce("new", "color")).alias("color"), (F.coalesce("new", "color") > F.col("color")).alias("moved"))
         merged = materialize(merged, "color")
         color, changed = merged.select("id", "color"), merged.where("moved").select("id", "color")
         if changed.isEmpty():
             return color
-    raise RuntimeError("colors did not settle")
 
 
 def bipartition(g: Graph) -> DataFrame:
