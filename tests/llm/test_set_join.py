@@ -82,3 +82,19 @@ def test_pairs_just_above_the_limit_are_found(docs):
         near.append(" ".join(w))
     kept = simhash.drop_near_duplicates(docs([*base, *near]))
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(150))
+
+
+def test_clean_documents_stay(docs):
+    """Fingerprints joined these: texts that share seven tenths of their runs, and texts that repeat one run."""
+    draw = random.Random(6)
+    texts = []
+    for _ in range(60):
+        w = [f"w{draw.randrange(10**6)}" for _ in range(204)]
+        other = list(w)
+        for k in range(1, 8):  # 35 of 200 runs differ, similarity 165 / 235
+            other[25 * k] = f"z{draw.getrandbits(40)}"
+        texts += [" ".join(w), " ".join(other)]
+    repeated = " ".join(["same"] * 300)
+    texts += [repeated + " " + " ".join(f"v{draw.randrange(10**6)}" for _ in range(100)) for _ in range(2)]
+    kept = simhash.drop_near_duplicates(docs(texts))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(len(texts)))
