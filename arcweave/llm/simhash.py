@@ -6,30 +6,33 @@ over half of them. Documents link if their fingerprints differ in at most
 
 Search, without ever meeting all pairs:
 
-1. Equal fingerprints are one vertex; the smallest id stands for it.
+1. Equal fingerprints are one vertex, named by the fingerprint itself; the
+   smallest id stands for it.
 2. Tables bring together fingerprints that agree on some of their bits: blocks
    of the bits, one more than can differ, so no link is lost.
 3. Within a bucket a pivot table is computed, the Hamming distances to fixed
    reference fingerprints; by the triangle inequality a pair whose coordinates
    differ by more than ``max_distance`` anywhere is discarded, and the rest are
    verified on all bits. A member that is linked leaves the search, so a dense
-   bucket costs about its size and gives a star of links, not all pairs.
-4. Buckets above ``MOST`` members are dealt out again by further bits; what is
+   bucket costs about its size and gives a tree of links, not all pairs.
+4. Buckets above ``MOST`` members are dealt out again by further bits, then by
+   cells of their pivot distances, each member into two cells a pivot; what is
    still too large is compared in blocks of chunks, all pairs of chunks, so no
    bucket is dropped and no task holds more than two chunks.
 5. Components come from star contraction in the cluster.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; with fewer words than a shingle has, the whole sequence is one shingle;
-repeated shingles count each time; bits set in exactly half are 0; repeated rows
+repeated shingles count each time; bits set in exactly half are 0; a very long
+text is hashed whole, its bits counted ``PART`` shingles at a time; repeated rows
 are rows of one group; a null id is never a group's smallest unless all are
-null; further columns are ignored (``drop_near_duplicates`` keeps them).
+null; an empty table gives an empty table; further columns stay, but for those
+named print, fingerprint or component_id, which are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -37,21 +40,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.rows import repeat_rows, row_key
+from arcweave.llm.rows import drop_rows, row_key
 from arcweave.operators.components import component_labels
 from arcweave.plans.lineage import materialize
 
 SEED = 42
+BITS = 64
 PIVOTS = 16
 #: Members of a bucket that one task compares.
 MOST = 2048
 #: Up to so many members, a bucket's pairs are compared at once.
 FEW = 48
+#: Pivots whose distances deal a large bucket out.
+CELLS = 4
 #: Shingles whose bits are counted at once.
 PART = 1 << 16
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MIX = 0x9E3779B97F4A7C15
 
+Tables = tuple[tuple[int, ...], ...]
+
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """A well-mixed function of 64-bit hashes (the splitmix64 finaliser)."""
@@ -75,95 +83,79 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.fromiter((hash_(joined[a:b], SEED) for a, b in zip(starts, last)), dtype=np.uint64, count=len(last))  # noqa: B905
 
 
-def fingerprint(text: str | None, words: int = 4, lanes: int = 1) -> np.ndarray:
-    """``lanes`` unsigned 64-bit words; the first is of the hashes themselves, others of functions of them."""
-    hashes = shingle_hashes(text or "", words)
-    counts = np.zeros((lanes, 64), dtype=np.int64)
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as an unsigned number."""
+    counts = np.zeros(BITS, dtype=np.int64)
     for low in range(0, len(hashes), PART):
-        part = hashes[low : low + PART]
-        for lane in range(lanes):
-            h = mixed(part + np.uint64(lane * MIX % (1 << 64))) if lane else part
-            counts[lane] += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view("<u8").reshape(lanes).astype(np.uint64)
+        counts += np.unpackbits(hashes[low : low + PART].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    return majority(shingle_hashes(text or "", words))
 
 
-def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, and ``print``: the fingerprint as little-endian bytes."""
+def fingerprints(docs: DataFrame, words: int = 4, text_col: str = "text") -> DataFrame:
+    """``docs`` without its text, and ``print``: the fingerprint's bits as a long."""
     others = [c for c in docs.columns if c != text_col]
 
     def compute(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            prints = [fingerprint(x.as_py(), words, lanes).astype("<u8").tobytes() for x in batch.column(len(others))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(prints, pa.binary())], names=[*others, "print"])
-
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    return docs.select(*others, F.col(text_col).cast("string")).mapInArrow(compute, f"{kinds}, print binary")
-
+            prints = np.fromiter((fingerprint(x.as_py(), words) for x in batch.column(len(others))), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(prints.view(np.int64))], names=[*others, "print"])
 
-@dataclass(frozen=True)
-class Tables:
-    """Bit positions whose values bring fingerprints together: the first deal, and that of large buckets."""
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
+    return docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`").cast("string")).mapInArrow(compute, f"{kinds}print long")
 
-    first: tuple[tuple[int, ...], ...]
-    again: tuple[tuple[int, ...], ...]
 
-    @staticmethod
-    def exact(bits: int, max_distance: int, rows: int) -> Tables:
-        """All ways to keep blocks of which ``max_distance`` may differ; more, finer blocks for more rows."""
-        blocks = max_distance + 1
-        while blocks < max_distance + 4 and rows >> (bits * (blocks - max_distance) // blocks) > MOST // 4:
-            blocks += 1
-        cut = [tuple(range(bits * k // blocks, bits * (k + 1) // blocks)) for k in range(blocks)]
-        first = tuple(sum(keep, ()) for keep in combinations(cut, blocks - max_distance))
-        return Tables(first, tuple(tuple(range(k, bits, max_distance + 1)) for k in range(max_distance + 1)))
+def exact_tables(max_distance: int, rows: int) -> Tables:
+    """Bit positions of each table: all ways to keep blocks of which ``max_distance`` may differ; more, finer blocks for more rows."""
+    blocks = max_distance + 1
+    while blocks < max_distance + 4 and rows >> (BITS * (blocks - max_distance) // blocks) > MOST // 4:
+        blocks += 1
+    cut = [tuple(range(BITS * k // blocks, BITS * (k + 1) // blocks)) for k in range(blocks)]
+    return tuple(sum(keep, ()) for keep in combinations(cut, blocks - max_distance))
 
 
-def _bits(prints: np.ndarray) -> np.ndarray:
-    return np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
-
-
-def _keys(prints: np.ndarray, tables: tuple[tuple[int, ...], ...], salt: np.ndarray | int = 0) -> np.ndarray:
+def _buckets(prints: np.ndarray, tables: Tables) -> np.ndarray:
     """A 64-bit bucket for each fingerprint and table."""
-    bits = _bits(prints)
     out = np.empty((len(prints), len(tables)), dtype=np.uint64)
     for t, positions in enumerate(tables):
-        h = np.zeros(len(prints), dtype=np.uint64) + np.uint64((t + 1) * MIX % (1 << 64)) + np.asarray(salt, dtype=np.uint64)
-        for low in range(0, len(positions), 32):
-            chosen = positions[low : low + 32]
-            h = mixed(h + bits[:, chosen].astype(np.uint64) @ (np.uint64(1) << np.arange(len(chosen), dtype=np.uint64)) + np.uint64(MIX))
-        out[:, t] = h
+        out[:, t] = mixed(mixed(prints & np.uint64(sum(1 << p for p in positions))) + np.uint64((t + 1) * MIX % (1 << 64)))
     return out
 
 
-def _read(batch, column: int, lanes: int) -> np.ndarray:  # noqa: ANN001
-    return np.frombuffer(b"".join(batch.column(column).to_pylist()), dtype="<u8").reshape(-1, lanes)
+def _pivots(n: int = PIVOTS) -> np.ndarray:
+    return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(MIX))
+
+
+def _cells(prints: np.ndarray, max_distance: int) -> np.ndarray:
+    """Buckets by the distances to ``CELLS`` pivots: two neighbouring cells a pivot, one of which any link shares."""
+    out = np.zeros((len(prints), 1), dtype=np.uint64)
+    for pivot in _pivots(CELLS):
+        cell = np.bitwise_count(prints ^ pivot).astype(np.uint64) // np.uint64(max_distance + 1)
+        out = np.concatenate([mixed(out * np.uint64(MIX) + (cell + np.uint64(k))[:, None] + np.uint64(1)) for k in (0, 1)], axis=1)
+    return out
 
 
-def _dealt(tables: tuple[tuple[int, ...], ...], lanes: int, salted: bool) -> Callable[[Iterator], Iterator]:
-    """Rows (bucket, vertex, print) from (vertex, print), or from such rows, with the bucket as a salt."""
+def _dealt(deal: Callable[[np.ndarray], np.ndarray], salted: bool) -> Callable[[Iterator], Iterator]:
+    """Rows (bucket, print) from (print), or from such rows, whose bucket is then a salt."""
 
-    def deal(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for whole in batches:
             for low in range(0, whole.num_rows, 4096):
                 batch = whole.slice(low, 4096)
-                if not batch.num_rows:
-                    continue
-                prints = _read(batch, batch.num_columns - 1, lanes)
-                salt = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) if salted else 0
-                keys = _keys(prints, tables, salt)
-                places = np.repeat(np.arange(len(prints)), len(tables))
-                taken = [batch.column(c).take(pa.array(places)) for c in range(batch.num_columns - 2, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *taken], names=["bucket", "vertex", "print"])
-
-    return deal
-
+                prints = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64)
+                keys = deal(prints)
+                if salted:
+                    keys = mixed(keys + mixed(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(prints, keys.shape[1]).view(np.int64))], names=["bucket", "print"])
 
-def _pivots(lanes: int) -> np.ndarray:
-    return mixed(np.arange(1, PIVOTS * lanes + 1, dtype=np.uint64) * np.uint64(MIX)).reshape(PIVOTS, lanes)
+    return run
 
 
 def _close(prints: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, max_distance: int) -> np.ndarray:
@@ -174,14 +166,13 @@ def _close(prints: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray,
         if len(keep) < 64 and pivot:
             break
         keep = keep[np.abs(table[a[keep], pivot] - table[b[keep], pivot]) <= max_distance]
-    return keep[np.bitwise_count(prints[a[keep]] ^ prints[b[keep]]).sum(axis=1, dtype=np.int64) <= max_distance]
+    return keep[np.bitwise_count(prints[a[keep]] ^ prints[b[keep]]) <= max_distance]
 
 
 def link_buckets(bucket: np.ndarray, prints: np.ndarray, max_distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs that connect, within each bucket, exactly what its links connect; rows are sorted by bucket."""
+    """Index pairs, each a link, that connect within each bucket what its links connect; rows are sorted by bucket."""
     n = len(bucket)
-    pivots = _pivots(prints.shape[1])
-    table = np.stack([np.bitwise_count(prints ^ p).sum(axis=1, dtype=np.int16) for p in pivots], axis=1)
+    table = np.stack([np.bitwise_count(prints ^ p).astype(np.int16) for p in _pivots()], axis=1)
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     sizes = np.diff(np.r_[starts, n])
     out = []
@@ -197,35 +188,35 @@ def link_buckets(bucket: np.ndarray, prints: np.ndarray, max_distance: int) -> l
     for start, size in zip(starts[sizes > FEW], sizes[sizes > FEW], strict=True):
         open_ = np.arange(start, start + size)
         while len(open_):
-            root, queue, open_ = open_[0], [open_[0]], open_[1:]
+            queue, open_ = [open_[0]], open_[1:]
             while queue and len(open_):
-                hit = _close(prints, table, np.array([queue.pop()]), open_, max_distance)
+                at = queue.pop()
+                hit = _close(prints, table, np.array([at]), open_, max_distance)
                 if len(hit):
                     queue += open_[hit].tolist()
-                    out.append((np.full(len(hit), root), open_[hit]))
+                    out.append((np.full(len(hit), at), open_[hit]))
                     open_ = np.delete(open_, hit)
     return out
 
 
-def _linked(lanes: int, max_distance: int) -> Callable[[Iterator], Iterator]:
-    """Links (u, v) from rows (bucket, vertex, print) that are sorted by bucket."""
+def _linked(max_distance: int) -> Callable[[Iterator], Iterator]:
+    """Links (u, v) from rows (bucket, print) that are sorted by bucket and print."""
 
     def link(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros((0, lanes), dtype=np.uint64))
+        held = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
 
-        def found(bucket: np.ndarray, vertex: np.ndarray, prints: np.ndarray) -> Iterator:
-            pairs = link_buckets(bucket, prints, max_distance) if len(bucket) else []
+        def found(bucket: np.ndarray, prints: np.ndarray) -> Iterator:
+            pairs = link_buckets(bucket, prints.view(np.uint64), max_distance) if len(bucket) else []
             if pairs:
                 a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(vertex[a]), pa.array(vertex[b])], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(prints[a]), pa.array(prints[b])], names=["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = (batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), _read(batch, 2, lanes))
-            held = tuple(np.concatenate([h, x]) for h, x in zip(held, new, strict=True))
+            held = tuple(np.concatenate([h, batch.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held))
             done = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on
             yield from found(*(x[:done] for x in held))
             held = tuple(x[done:] for x in held)
@@ -234,65 +225,67 @@ def _linked(lanes: int, max_distance: int) -> Callable[[Iterator], Iterator]:
     return link
 
 
-def links(vertices: DataFrame, tables: Tables, lanes: int, max_distance: int) -> DataFrame:
-    """(u, v): pairs of vertices whose components are those of all links; ``vertices`` has vertex and print."""
-    schema = "bucket long, vertex long, print binary"
-
-    def large(rows: DataFrame) -> DataFrame | None:
-        """The buckets above ``MOST``, or None; only bucket names are shuffled."""
-        found = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MOST), "large")
-        return None if found.isEmpty() else found
-
-    ready = vertices.select("vertex", "print").mapInArrow(_dealt(tables.first, lanes, False), schema)
-    if (hot := large(ready)) is not None:
-        marked = ready.join(hot, "bucket", "left")
-        again = marked.where("_n is not null").select("bucket", "vertex", "print").mapInArrow(_dealt(tables.again, lanes, True), schema)
-        ready = marked.where("_n is null").select("bucket", "vertex", "print")
-        if (hot := large(again)) is not None:
-            marked = again.join(hot, "bucket", "left")
-            again = marked.where("_n is null").select("bucket", "vertex", "print")
+def links(prints: DataFrame, max_distance: int) -> DataFrame:
+    """(u, v): pairs of fingerprints, each a link, whose components are those of all links; ``prints`` has distinct prints."""
+    schema = "bucket long, print long"
+    tables = exact_tables(max_distance, prints.count())
+    again = tuple(tuple(range(k, BITS, max_distance + 1)) for k in range(max_distance + 1))
+    dealers = [lambda x: _buckets(x, again), lambda x: _cells(x, max_distance)]
+    rows = prints.select("print").mapInArrow(_dealt(lambda x: _buckets(x, tables), False), schema)
+    ready = []
+    while True:
+        # only bucket names and counts are shuffled
+        large = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MOST), "large")
+        if large.isEmpty():
+            ready.append(rows)
+            break
+        marked = rows.join(large, "bucket", "left")
+        ready.append(marked.where("_n is null").select("bucket", "print"))
+        marked = marked.where("_n is not null")
+        if not dealers:
             # what is still large: chunks, and every pair of chunks a bucket of its own
             chunks = F.ceil(F.col("_n") / MOST).cast("int")
-            chunk = F.pmod(F.xxhash64("vertex"), chunks).cast("int")
-            blocks = marked.where("_n is not null").select("*", chunk.alias("_a"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("_b"))
-            ready = ready.union(blocks.select(F.xxhash64("bucket", F.least("_a", "_b"), F.greatest("_a", "_b")).alias("bucket"), "vertex", "print"))
-        ready = ready.union(again)
-    ready = ready.repartition("bucket").sortWithinPartitions("bucket")
-    return ready.mapInArrow(_linked(lanes, max_distance), "u long, v long")
-
+            chunk = F.pmod(F.xxhash64("print"), chunks).cast("int")
+            blocks = marked.select("*", chunk.alias("_a"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("_b"))
+            ready.append(blocks.select(F.xxhash64("bucket", F.least("_a", "_b"), F.greatest("_a", "_b")).alias("bucket"), "print"))
+            break
+        rows = marked.select("bucket", "print").mapInArrow(_dealt(dealers.pop(0), True), schema)
+    every = ready[0]
+    for more in ready[1:]:
+        every = every.union(more)
+    return every.repartition("bucket").sortWithinPartitions("bucket", "print").mapInArrow(_linked(max_distance), "u long, v long")
 
-def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, max_distance: int = 4, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None) -> DataFrame:
-    """``docs`` without its text, with ``fingerprint`` (of the first lane, hexadecimal) and ``component_id``.
 
-    ``group_col`` names a further column that tells groups apart even without ids.
-    Columns of ``docs`` named print, fingerprint or component_id are replaced.
-    """
+def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without its text, with ``fingerprint`` (hexadecimal) and ``component_id``."""
     docs = docs.drop("print", "fingerprint", "component_id")
-    rows = materialize(fingerprints(docs, words, lanes, id_col, text_col), "prints")
-    vertices = rows.groupBy("print").agg(F.min(id_col).alias("least"))
-    vertices = materialize(vertices.select(F.xxhash64("print").alias("vertex"), "print", "least"), "vertices")
-    n = vertices.count()
-    tables = Tables.exact(64 * lanes, max_distance, n)
-    labels = component_labels(links(vertices, tables, lanes, max_distance)).withColumnRenamed("id", "vertex")
-    grouped = materialize(vertices.join(labels, "vertex", "left").select("vertex", "print", "least", F.coalesce("component", "vertex").alias("component")), "labels")
+    rows = materialize(fingerprints(docs, words, text_col), "prints")
+    vertices = materialize(rows.groupBy("print").agg(F.min(id_col).alias("least")), "vertices")
+    labels = component_labels(links(vertices, max_distance)).withColumnRenamed("id", "print")
+    grouped = materialize(vertices.join(labels, "print", "left").select("print", "least", F.coalesce("component", "print").alias("component")), "labels")
     # written, so that the join below has two plain exchanges and a large component can be split
     smallest = materialize(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "groups")
-    known = grouped.join(smallest, "component").select("print", "component_id", *([F.col("component").alias(group_col)] if group_col else []))
-    shown = F.lower(F.concat(*[F.substring(F.hex("print"), 2 * byte + 1, 2) for byte in range(7, -1, -1)]))
-    return rows.join(known, "print").select(*[c for c in docs.columns if c != text_col], shown.alias("fingerprint"), "component_id", *([group_col] if group_col else []))
+    known = grouped.join(smallest, "component").select("print", "component_id")
+    shown = F.lower(F.lpad(F.hex("print"), 16, "0"))
+    return rows.join(known, "print").select(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], shown.alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group: that of the smallest id.
 
     Documents link if the Jaccard similarity of their sets of runs of ``words`` words
-    is ``similarity`` or more; all links are found and each is verified.
+    is ``similarity`` or more. SimHash links are the first candidates, an exact join
+    of the sets finds what fingerprints miss, and every link is verified on the sets.
+    Texts without a word are one group; rows equal in all columns count as copies;
+    of equal ids the smaller row key stays; null ids come last.
     """
     from arcweave.llm.set_join import similar_groups
 
     rows = docs.select(*row_key(docs), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     groups = materialize(similar_groups(rows, words, similarity), "similar")
-    first = groups.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_a").alias("a"), F.col("_b").alias("b"))).alias("f"))
-    keys = groups.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_rows"))
-    kept = first.select(F.col("f.a").alias("_a"), F.col("f.b").alias("_b")).join(keys, ["_a", "_b"])
-    return repeat_rows(docs, kept.select("_a", "_b", F.lit(1).alias("_copies"), "_rows"))
+    place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_a").alias("a"), F.col("_b").alias("b"))
+    sizes = groups.groupBy("_group").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # written, so that the join has two plain exchanges and a large group can be split
+    member = groups.join(materialize(sizes.select("_group", "f"), "groups"), "_group")
+    first = (F.col("_a") == F.col("f.a")) & (F.col("_b") == F.col("f.b"))
+    return drop_rows(docs, member.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_rows"), F.max(first.cast("int")).alias("_copies")).where("_copies < _rows"))

@@ -56,26 +56,30 @@ def test_clusters_and_large_buckets(spark, monkeypatch, most, few):
             if draw.random() < 0.3:
                 p = q
     prints = sorted(prints)
-    rows = [(k, bytearray(p.to_bytes(8, "little"))) for k, p in enumerate(prints)]
-    vertices = spark.createDataFrame(rows, "vertex long, print binary")
     from arcweave.operators.components import component_labels
 
-    tables = simhash.Tables.exact(64, 4, len(prints))
-    labels = {r["id"]: r["component"] for r in component_labels(simhash.links(vertices, tables, 1, 4)).collect()}
-    assert [labels.get(k, k) for k in range(len(prints))] == components(prints, 4)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    labels = {r["id"]: r["component"] for r in component_labels(simhash.links(spark.createDataFrame([(p,) for p in signed], "print long"), 4)).collect()}
+    names = components(prints, 4)
+    groups = {}
+    for p, name in zip(signed, names, strict=True):
+        groups.setdefault(labels.get(p, p), set()).add(name)
+    assert sorted(min(g) for g in groups.values()) == sorted(set(names)) and all(len(g) == 1 for g in groups.values())
 
 
 def test_finer_blocks_are_exact():
+    """Any two fingerprints at the limit share a bucket of every deal, however many rows there are."""
     draw = np.random.default_rng(0)
+    again = tuple(tuple(range(k, 64, 5)) for k in range(5))
     for rows in (10**3, 10**7, 10**9, 10**12):
-        tables = simhash.Tables.exact(64, 4, rows)
+        tables = simhash.exact_tables(4, rows)
         for _ in range(200):
             a = draw.integers(0, 2**63, 1, dtype=np.uint64)
             b = a.copy()
             for bit in draw.choice(64, 4, replace=False):
                 b ^= np.uint64(1 << int(bit))
-            assert (simhash._keys(a, tables.first) == simhash._keys(b, tables.first)).any()
-            assert (simhash._keys(a, tables.again) == simhash._keys(b, tables.again)).any()
+            for deal in (lambda x: simhash._buckets(x, tables), lambda x: simhash._buckets(x, again), lambda x: simhash._cells(x, 4)):  # noqa: B023
+                assert set(deal(a)[0].tolist()) & set(deal(b)[0].tolist())
 
 
 def test_dropping(docs, spark):
