@@ -1,5 +1,11 @@
+import html as entities
+import math
+import re
+
+import pyarrow.parquet as pq
 import pytest
 
+from arcweave.llm import html_extract
 from arcweave.llm.html_extract import extract_pages, main_text
 
 LONG = "This is a long paragraph of the article with a good number of words in it, as articles have."
@@ -62,3 +68,82 @@ def test_table(spark):
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in found) == [(1, LONG, len(LONG)), (2, "", 0), (2, "", 0)]
     assert extract_pages(pages.limit(0)).count() == 0
     assert main_text("<article><p>" + "word " * 200_000 + "</p></article>") == ("word " * 200_000).strip()
+
+
+def brute_lines(page):
+    """(text, ratio, element around it) of each line, by cutting the page at its tags; for pages without stray or implied ends but for p."""
+    page = re.sub(r"(?s)<(script|style|title).*?</\1>|<!--.*?-->|<!DOCTYPE[^>]*>", "", page)
+    out, text, tags, links, inside, around = [], "", 0, 0, 0, []
+    for tag, data in re.findall(r"<(/?[a-z0-9]+)[^>]*>([^<]*)", page):
+        name = tag.strip("/")
+        if name in html_extract.BLOCK:
+            if text.split():
+                clean = " ".join(text.split())
+                out.append((clean, max(0, len(clean) - links) / max(1, tags), next((a for a in around if a in ("nav", "article", "footer")), "")))
+            text, tags, links = "", 0, 0
+        tags += 1
+        if name == "br":
+            text += " "
+        elif name not in html_extract.VOID:
+            if tag[0] == "/":
+                around = around[: len(around) - around[::-1].index(name) - 1] if name in around else around
+            else:
+                around = [*around, name]
+            inside += (name == "a") * (-1 if tag[0] == "/" else 1)
+        data = entities.unescape(data)
+        links += len(data.strip()) if inside else 0
+        text += data
+    return out
+
+
+def brute_cut(values):
+    """The split of the sorted values that is its own midpoint of means, reached from the middle of the range."""
+    cut = (min(values) + max(values)) / 2
+    for _ in range(20):
+        low, high = [v for v in values if v < cut], [v for v in values if v >= cut]
+        if not low or not high:
+            break
+        cut = (math.fsum(low) / len(low) + math.fsum(high) / len(high)) / 2
+    return cut
+
+
+def test_pages_against_brute_force():
+    """Ratios, smoothing and threshold written out anew, on all pages of a test table, and how often the threshold leaves the advert out by itself."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column("html").to_pylist()
+    decided = 0
+    for page in pages:
+        lines = brute_lines(page)
+        weigh = lambda d: math.exp(-d * d / 2) if abs(d) <= 3 else 0.0
+        smoothed = [sum(weigh(i - j) * r for j, (_, r, _) in enumerate(lines)) / sum(weigh(i - j) for j in range(len(lines))) for i in range(len(lines))]
+        cut = brute_cut(smoothed)
+        wanted = [t for (t, _, where), v in zip(lines, smoothed, strict=True) if where == "article" or (not where and v >= 3 * cut)]
+        assert main_text(page) == "\n".join(wanted)
+        decided += all(v < cut for (_, _, where), v in zip(lines, smoothed, strict=True) if not where)
+    assert decided > 0.9 * len(pages)
+
+
+def test_threshold_decides(monkeypatch):
+    page = pq.read_table("/root/testdata/sf0.001/pages.parquet", columns=["html"]).column("html").to_pylist()[0]
+    right = main_text(page)
+    monkeypatch.setattr(html_extract, "threshold", min)
+    assert main_text(page) != right
+
+
+def test_menus_inside_the_article_go_and_words_in_names_do_not():
+    menu = "<p><a href=1>Home</a> <a href=2>World</a> <a href=3>Sport</a></p>"
+    links = "<ul>" + "".join(f"<li><a href={k}>Link {k}</a></li>" for k in range(5)) + "</ul>"
+    ad = '<div class="ad-slot">Buy now! 50% off</div>'
+    kept = '<p class="railway-share">Shares of the railway rose.</p><div class="story-notice-board">On the board.</div><p><label>Label</label> words</p><p><a href=4>One reference</a></p>'
+    page = f"<body><nav>{menu}</nav><article><h1>Title</h1>{menu}<p>{LONG}</p><p>{LONG}</p>{ad}{kept}<p>{LONG}</p>{links}</article><footer>{menu}</footer></body>"
+    assert main_text(page) == f"Title\n{LONG}\n{LONG}\nShares of the railway rose.\nOn the board.\nLabel words\nOne reference\n{LONG}"
+
+
+def test_dense_text_outside_the_article_is_content():
+    long = " ".join([LONG] * 20)
+    page = f"<body><nav><ul><li><a href=1>Home</a></li></ul></nav><article><p>Short news.</p><p>Tiny.</p></article><div>{long}</div><div>An offer.</div><footer>f</footer></body>"
+    assert main_text(page) == f"Short news.\nTiny.\n{long}"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000, "<b>" * 200_000 + "x", "<div><a>" * 60_000 + "</a>" * 60_000, "<i>" * 60_000 + "<div>" + "</i>" * 60_000, "<table><tr><td>" * 40_000])
+def test_deep_nesting_is_linear(page):
+    assert main_text(page) in ("", "x")
