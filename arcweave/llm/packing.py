@@ -5,10 +5,15 @@ Every document becomes its token ids and a closing id 0. Documents of more than
 Pieces are then packed by length patterns:
 
 1. the histogram of piece lengths is counted (at most ``capacity`` rows),
-2. few-document patterns that fill a sequence exactly are enumerated,
+2. few-document patterns that fill a sequence exactly are enumerated: all pairs,
+   and triples, at first some for each longest length, then those that the
+   residual of the fit asks for,
 3. non-negative least squares fits a repeat count for each pattern to the
-   histogram, and the counts are rounded down to what the histogram holds,
-4. what remains is packed best-fit, longest first, again by pattern and count,
+   histogram, and the whole parts of the counts are taken as far as the histogram
+   holds the pieces,
+4. remainders are rounded in two ways: the largest first as far as pieces are left,
+   and longest piece first, each in its pattern of largest remainder; what has no
+   pattern is packed best-fit, and of the two plans the shorter is kept,
 5. pieces of one length are numbered across partitions, and ranges of these
    numbers are dealt to the slots of the patterns.
 
@@ -16,8 +21,10 @@ Steps 2 to 4 see the histogram alone, so their cost doesn't grow with the rows.
 The plan has at most a few slots a pattern and is the only thing broadcast.
 
 Defined results: a null text is an empty one; an empty text is the single id 0;
-an empty table gives an empty table; repeated rows are packed once each;
-columns other than the id and the text are ignored.
+the text of a special token is that token, as the tokenizer has it; a very long
+text is encoded in parts, cut where no token can span; an empty table gives an
+empty table; repeated rows are packed once each; an id that is no number is null
+in the result; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +49,11 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Texts made of these characters alone take the rank-based encoder; others the tokenizer itself.
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧‰-⁞]*")
 
+#: Triples enumerated for each longest length before the fit asks for more; rounds of asking; counts taken for nothing.
+PARTNERS = 12
+ASKED = 6
+LEAST = 1e-3
+
 #: A piece that leaves no more than this share of a sequence is taken before any pair.
 CLOSE = 0.05
 
@@ -65,16 +77,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
         to_byte = _byte_of_char()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(to_byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        ranks = {bytes(to_byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def _part(self, text: str) -> list[int]:
-        if PLAIN.fullmatch(text):
+        if PLAIN.fullmatch(text) and not any(t in text for t in self.special):
             return self.fast.encode_ordinary(text)
         return self.exact.encode(text, add_special_tokens=False).ids
 
@@ -110,14 +121,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def patterns(lengths: list[int], capacity: int, partners: int = 12) -> np.ndarray:
+def patterns(lengths: list[int], capacity: int) -> np.ndarray:
     """Patterns of two or three lengths that fill a sequence exactly; a row each, 0 for no third.
 
-    All pairs are taken; of the triples, up to ``partners`` for each longest length.
+    All pairs are taken; of the triples, ``PARTNERS`` for each longest length.
     """
     have = set(lengths)
     pairs = [(a, capacity - a, 0) for a in lengths if a >= capacity - a and capacity - a in have]
@@ -125,11 +136,28 @@ def patterns(lengths: list[int], capacity: int, partners: int = 12) -> np.ndarra
     for a in lengths:
         room = capacity - a
         fits = [b for b in lengths if room - b in have and room - b <= b <= a]
-        triples += [(a, b, room - b) for b in fits[:: max(1, -(-len(fits) // partners))]]
+        triples += [(a, b, room - b) for b in fits[:: max(1, -(-len(fits) // PARTNERS))]]
     return np.array(pairs + triples, dtype=np.int64).reshape(-1, 3)
 
 
-def fit(table: np.ndarray, counts: np.ndarray, rounds: int = 1500) -> np.ndarray:
+def asked(lengths: np.ndarray, residual: np.ndarray, known: set[tuple[int, ...]], capacity: int) -> list[tuple[int, ...]]:
+    """For each longest length the triple with the largest residual, if it is above 0 and new: a column that improves the fit."""
+    out = []
+    here = np.zeros(capacity + 1, dtype=bool)
+    here[lengths] = True
+    for a in lengths.tolist():
+        b = lengths[(lengths <= a) & (2 * lengths >= capacity - a) & (lengths < capacity - a)]
+        b = b[here[capacity - a - b]]
+        if len(b):
+            price = residual[a] + residual[b] + residual[capacity - a - b]
+            k = int(np.argmax(price))
+            row = (a, int(b[k]), capacity - a - int(b[k]))
+            if price[k] > LEAST and row not in known:
+                out.append(row)
+    return out
+
+
+def fit(table: np.ndarray, counts: np.ndarray, start: np.ndarray | None = None, rounds: int = 800) -> np.ndarray:
     """Repeat counts x >= 0 that minimise |Ax - counts|^2, by accelerated projected gradient.
 
     ``counts`` is indexed by length; slot 0 stands for an absent third document.
@@ -142,6 +170,8 @@ def fit(table: np.ndarray, counts: np.ndarray, rounds: int = 1500) -> np.ndarray
     columns = np.bincount(table[used], minlength=size)
     step = 1.0 / (3.0 * max(1, columns.max()))
     x = np.zeros(len(table))
+    if start is not None:
+        x[: len(start)] = start
     y, t = x.copy(), 1.0
     for _ in range(rounds):
         made = np.bincount(table.ravel(), weights=np.repeat(y, 3), minlength=size)
@@ -163,25 +193,61 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     if left[capacity]:
         out.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    table = patterns([int(n) for n in np.flatnonzero(left)], capacity)
+    lengths = np.flatnonzero(left)
+    table = patterns(lengths.tolist(), capacity)
     repeats = fit(table, left)
-    for j in np.argsort(-repeats, kind="stable"):
-        if repeats[j] < 2:  # what doesn't repeat is packed better one by one
+    for _ in range(ASKED):
+        made = np.bincount(table.ravel(), weights=np.repeat(repeats, 3), minlength=len(left))
+        new = asked(lengths, left - made, set(map(tuple, table.tolist())), capacity)
+        if not new:
             break
-        row = [int(n) for n in table[j] if n]
-        times = min(int(repeats[j]), *(int(left[n]) // row.count(n) for n in row))
-        if times > 0:
-            out.append((tuple(row), times))
-            for n in row:
-                left[n] -= times
-    return out + _best_fit(left, capacity)
-
-
-def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """The longest piece first, then one that all but fills its room, else two that fill it exactly, else the longest that fits."""
+        table = np.concatenate([table, np.array(new, dtype=np.int64)])
+        repeats = fit(table, left, repeats)
+    times = np.zeros(len(table), dtype=np.int64)
+    for j in np.argsort(-repeats, kind="stable"):
+        times[j] = _take(left, _row(table[j]), int(repeats[j]))
+    out += [(_row(table[j]), int(times[j])) for j in np.flatnonzero(times)]
+    part = repeats - np.floor(repeats)
+    order = [_row(table[j]) for j in np.argsort(-part, kind="stable") if part[j] > LEAST]
+    # the largest remainders first
+    now, ends = left.copy(), []
+    for row in order:
+        if _take(now, row, 1):
+            ends.append((row, 1))
+    ends += _best_fit(now, capacity)
+    # the longest pieces first
+    fitted: dict[int, list[tuple[int, ...]]] = {}
+    for row in order:
+        fitted.setdefault(row[0], []).append(row)
+    return out + min(ends, _best_fit(left, capacity, fitted), key=lambda x: sum(n for _, n in x))
+
+
+def _row(pattern: np.ndarray) -> tuple[int, ...]:
+    return tuple(int(n) for n in pattern if n)
+
+
+def _take(left: np.ndarray, row: tuple[int, ...], most: int) -> int:
+    """Fills a pattern up to ``most`` times from the pieces that are left."""
+    times = min(most, *(int(left[n]) // row.count(n) for n in row))
+    for n in row:
+        left[n] -= times
+    return times
+
+
+def _best_fit(left: np.ndarray, capacity: int, fitted: dict[int, list[tuple[int, ...]]] | None = None) -> list[tuple[tuple[int, ...], int]]:
+    """The longest piece first, in one of its ``fitted`` patterns, each once; else with one that all but fills its room, else two that fill it exactly, else the longest that fits."""
     out = []
     sizes = [int(n) for n in np.flatnonzero(left)]
     while sizes:
+        own = (fitted or {}).get(sizes[-1])
+        if own:
+            row = own.pop(0)
+            if _take(left, row, 1):
+                out.append((row, 1))
+                for n in set(row):
+                    if not left[n]:
+                        sizes.remove(n)
+            continue
         row, room = [sizes[-1]], capacity - sizes[-1]
         free = {sizes[-1]: int(left[sizes[-1]]) - 1}
         has = lambda n: free.get(n, int(left[n]) if n > 0 else 0) > 0

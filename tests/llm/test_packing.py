@@ -61,8 +61,9 @@ def test_encoder_is_exact(exact, monkeypatch):
     monkeypatch.setattr(packing, "PART", 50)
     text = "the cat's  house \n and 12 dogs, " * 40
     assert encoder.ids(text)[:-1].tolist() == exact.encode(text, add_special_tokens=False).ids
-    special = "a <|endoftext|> b"
-    assert 50256 not in encoder.ids(special)
+    for special in ("a <|endoftext|> b", "<|endoftext|>", "word " * 30 + "<|endoftext|>" + " word" * 30):
+        ids = exact.encode(special, add_special_tokens=False).ids
+        assert 50256 in ids and encoder.ids(special)[:-1].tolist() == ids
 
 
 def test_plans():
@@ -88,8 +89,27 @@ def test_plans():
             assert sum(t for _, t in made) <= 1.02 * len(bins) + 1
 
 
+@pytest.mark.parametrize("times", [1, 26, 1000])
+def test_patterns_carry_the_load(times, exact):
+    """Most tokens of short pieces are in patterns, and there are no more sequences than best fit alone makes, at any size."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+    histogram = Counter(n for t in texts for _, n in packing.cut(len(exact.encode(t or "", add_special_tokens=False).ids) + 1, 2048))
+    histogram = {n: c * times for n, c in histogram.items()}
+    made = packing.plan(histogram)
+    left = np.zeros(2049, dtype=np.int64)
+    left[list(histogram)] = list(histogram.values())
+    full, left[2048] = left[2048], 0
+    assert sum(t for _, t in made) <= full + sum(t for _, t in packing._best_fit(left, 2048))
+    short = sum(n * c for n, c in histogram.items() if n < 2048)
+    assert sum(2048 * t for row, t in made if 1 < len(row) < 4 and sum(row) == 2048) > 0.9 * short
+
+
 def test_odd_tables(docs, spark):
     assert packing.pack_documents(docs([]), PATH).count() == 0
     rows = spark.createDataFrame([(1, "a b", 1), (1, "a b", 1), (None, None, 2)], "doc_id long, text string, length int")
     found = packing.pack_documents(rows, PATH).collect()
     assert len(found) == 3 and check(found, 2048) == 1
+    named = spark.createDataFrame([("x", "a b"), ("7", "a b")], "doc_id string, text string")
+    assert sorted(str(r["doc_id"]) for r in packing.pack_documents(named, PATH).collect()) == ["7", "None"]
