@@ -4,31 +4,34 @@ Each source gets a target number of words; a document of it is wanted
 ``target / source size`` times. The whole part is taken; the fractional parts
 are rounded dependently: two documents meet, probability mass is moved at
 random between them, keeping the expected number of words, until one is 0 or 1,
-and the other meets the next document. So a source's words come out at its
-target up to about the size of the last document, and no document is taken less
-often than the whole part says, or more often than once above it. In a source of
-few documents the smallest make up for the larger ones' draws, so their chances
-are not exactly the fractional part.
-
-The rounding is a reduction tree. Documents that hold more than a
-``1 / fine`` share of their source (fewer than ``fine`` in any source, as the
-shares add up to 1) are rounded first, largest first; a much larger document
-that is left over is settled by a draw and its error in words is spread over
-the rest. The small documents are then dealt to groups of a bounded size, each
-group leaves one unsettled document, and these meet again, level by level,
-until one is left for each source. A hot source is many groups.
+and the other meets the next document. Documents meet in falling order of size;
+one that is still open when the next is less than half its size is settled by a
+draw, and the words that the draw gave too many or too few are spread over the
+documents that follow. Such an error is 0 on average, so a document's mean
+number of copies is what it is wanted, but where a chance would leave 0 to 1, or
+where those that follow are too few to make a draw good, so that it goes the
+other way.
+So a source's words come out at its target up to about the size of its last
+document, and no document is taken less often than the whole part says, or more
+often than once above it.
+
+The rounding is a reduction tree, the same for every source and document: open
+documents are dealt to groups of a bounded size, each group leaves one of them
+open, with the words it has yet to make good, and these meet again, level by
+level, until one is left for each source. A hot source is many groups.
 
 All draws are hashes of a seed and stable keys, so reruns agree.
 
 Defined results: null text has size 0; a document of size 0 is taken 0 words; a
 source without words gets target 0; null sources are one source, ordered last;
-rows equal in all columns are separate documents that may be taken differently;
-an empty table gives an empty table.
+a very long document is one document like any other; rows equal in all columns
+are counted first and share their copies evenly, so they are no hot group; an
+empty table gives an empty table; further columns are ignored by ``mix`` and
+kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
 
-
 from collections.abc import Callable
 
 import numpy as np
@@ -86,17 +89,32 @@ def settled(p: float) -> bool:
     return p <= EPSILON or p >= 1 - EPSILON
 
 
-def chain(sizes: list[int], probabilities: list[float], *key: object) -> tuple[list[int], int, float]:
-    """Rounds a group: 0 or 1 for each, the index of the one left open (-1: none) and its probability."""
+def round_group(sizes: list[int], chances: list[float], error: float, *key: object) -> tuple[list[int], int, float, float]:
+    """Rounds documents in falling order of size, some words being due besides (or, if negative, too many).
+
+    Gives 0 or 1 for each, the index of the one left open (-1: none), its chance, and the words still due.
+    """
     out = [0] * len(sizes)
-    held, p = -1, 0.0
-    for i, q in enumerate(probabilities):
+    held, p, left = -1, 0.0, float(sum(sizes))
+    due = sum(a * q for a, q in zip(sizes, chances, strict=True))  # words that those not yet met give
+    for i, size in enumerate(sizes):
+        if held >= 0 and sizes[held] > 2 * size:
+            out[held] = int(draw(*key, held, "alone") < p)
+            beyond = [max(0.0, -due - e, e - (left - due)) for e in (error + sizes[held] * p, error + sizes[held] * (p - 1))]
+            if beyond[out[held]] > beyond[1 - out[held]]:
+                out[held] = 1 - out[held]
+            error += sizes[held] * (p - out[held])
+            held = -1
+        due -= size * chances[i]
+        q = min(1.0, max(0.0, chances[i] + error / left))
+        error -= size * (q - chances[i])
+        left -= size
         if settled(q):
             out[i] = round(q)
         elif held < 0:
             held, p = i, q
         else:
-            p, q = meet(sizes[held], p, sizes[i], q, draw(*key, i))
+            p, q = meet(sizes[held], p, size, q, draw(*key, i))
             if settled(p):
                 out[held] = round(p)
                 held, p = i, q
@@ -105,114 +123,54 @@ def chain(sizes: list[int], probabilities: list[float], *key: object) -> tuple[l
             if settled(p):
                 out[held] = round(p)
                 held = -1
-    return out, held, p
-
-
-def round_large(sizes: list[int], wanted: float, rest: int, *key: object) -> tuple[list[int], float]:
-    """Copies of a source's large documents, largest first, and how often its other words are then wanted.
-
-    ``wanted`` is the target over the size, ``rest`` the words of the small documents.
-    """
-    copies = [0] * len(sizes)
-    left = float(sum(sizes) + rest)
-    due = wanted * left  # words still to come from what is not yet met
-    floor = min(int(wanted + EPSILON), 2)
-    ceiling = floor if wanted - floor <= EPSILON else floor + 1
-    held, p, base = -1, 0.0, 0
-
-    def settle() -> None:
-        nonlocal due
-        one = int(draw(*key, held, "last") < p)
-        copies[held] = base + one
-        due += sizes[held] * (p - one)
-
-    for i, size in enumerate(sizes):
-        if held >= 0 and sizes[held] > 2 * size:
-            settle()
-            held = -1
-        each = min(float(ceiling), max(float(floor), due / left))
-        whole = min(int(each + EPSILON), 2)
-        q = each - whole
-        left -= size
-        due -= size * each
-        if settled(q) or q < 0:
-            copies[i] = whole + max(0, round(q))
-        elif held < 0:
-            held, p, base = i, q, whole
-        else:
-            p, q = meet(sizes[held], p, size, q, draw(*key, i))
-            if settled(p):
-                copies[held] = base + round(p)
-                held, p, base = i, q, whole
-            else:
-                copies[i] = whole + round(q)
-            if settled(p):
-                copies[held] = base + round(p)
-                held = -1
-    if held >= 0:
-        settle()
-    return copies, min(float(ceiling), max(float(floor), due / rest)) if rest else wanted
+    return out, held, p, error
 
 
 def _round_groups(seed: int, level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Rounds a group of small documents of one source; the last level leaves none open."""
+    """Rounds a group of documents of one source; the last level leaves none open."""
 
-    def round_group(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "_tie"], ascending=[False, True], kind="stable").reset_index(drop=True)
         key = (seed, level, rows["source"].iloc[0], int(rows["_group"].iloc[0]))
-        out, held, p = chain(rows["size"].tolist(), rows["_p"].tolist(), *key)
-        if held >= 0 and last:
+        out, held, p, error = round_group(rows["size"].tolist(), rows["_p"].tolist(), float(rows["_due"].sum()), *key)
+        if last and held >= 0:
             out[held], held = int(draw(*key, "last") < p), -1
-        rows["copies"] = rows["_whole"] + np.array(out, dtype=np.int64)
+        rows["_copies"] = rows["_whole"] + np.array(out, dtype=np.int64)
         rows["_open"] = False
+        if held < 0 and not last and abs(error) > EPSILON:
+            held, p = len(rows) - 1, float(out[-1])  # the smallest takes along what is due
         if held >= 0:
-            rows.loc[held, ["_p", "_open"]] = [p, True]
+            rows.loc[held, ["_p", "_due", "_open"]] = [p, error, True]
         return rows.drop(columns="_group")
 
-    return round_group
+    return run
 
 
-def copies(sized: DataFrame, targets: DataFrame, seed: int = 0, fine: int = 1000, group: int = 2000) -> DataFrame:
-    """``sized`` (id columns, source, size) with source_size, target and the number of ``copies``."""
+def copies(sized: DataFrame, targets: DataFrame, seed: int = 0, group: int = 500) -> DataFrame:
+    """Distinct rows of ``sized`` (id columns, source, size) with source_size, target, the number of ``_rows`` equal to each and the ``_copies`` of them all."""
     names = sized.columns
-    keyed = sized.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    keyed = keyed.withColumn("_tie", F.xxhash64(*names)).withColumn("_large", F.col("size") * fine > F.col("source_size"))
+    counted = sized.groupBy(*names).agg(F.count(F.lit(1)).alias("_rows"))
+    keyed = counted.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    # rows that are equal are wanted together: the whole part of all, and one chance of another
+    wanted = F.col("_rows") * F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    keyed = keyed.withColumn("_tie", F.xxhash64(*names)).withColumn("_whole", F.least(F.floor(wanted + EPSILON), 2 * F.col("_rows")).cast("long"))
+    keyed = keyed.withColumn("_p", F.greatest(F.lit(0.0), wanted - F.col("_whole"))).withColumn("_due", F.lit(0.0))
     keyed = materialize(keyed, "sized")
-    kinds = ", ".join(f"`{c}` {t}" for c, t in keyed.dtypes)
-    large = keyed.where("_large and size > 0")
-    rest = keyed.groupBy("source").agg(F.sum(F.when(F.col("_large"), 0).otherwise(F.col("size"))).alias("_rest"))
-
-    def round_source(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "_tie"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        first = rows.iloc[0]
-        rows["copies"], each = round_large(rows["size"].tolist(), first["target"] / first["source_size"], int(first["_rest"]), seed, "large", first["source"])
-        rows["_each"] = each
-        return rows.drop(columns="_rest")
-
-    with_rest = large.join(rest.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    done = materialize(with_rest.groupBy("source").applyInPandas(round_source, f"{kinds}, copies int, _each double"), "large")
-
-    # the small documents, each wanted as often as the large ones of its source left over
-    each = done.groupBy(F.col("source").alias("_source")).agg(F.first("_each").alias("_each"))
-    small = keyed.where("not _large or size <= 0").join(each, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    plain = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    small = small.withColumn("_each", F.coalesce("_each", plain)).withColumn("_whole", F.least(F.floor(F.col("_each") + EPSILON), F.lit(2)).cast("int"))
-    small = small.withColumn("_p", F.greatest(F.lit(0.0), F.col("_each") - F.col("_whole"))).drop("_each")
-    unworded = small.where("size <= 0").withColumn("copies", F.col("_whole"))
-    open_ = materialize(small.where("size > 0"), "open")
-    results = [done.select(*names, "source_size", "target", "copies"), unworded.select(*names, "source_size", "target", "copies")]
+    whole = (F.col("size") <= 0) | (F.col("_p") <= EPSILON)
+    done = [*names, "source_size", "target", "_rows", "_copies"]
+    open_ = keyed.where(~whole)
+    results = [keyed.where(whole).withColumn("_copies", F.col("_whole")).select(*done)]
     level, kinds = 0, ", ".join(f"`{c}` {t}" for c, t in open_.dtypes)
     while True:
-        groups = open_.groupBy("source").agg(F.count(F.lit(1)).alias("_n")).withColumn("_groups", F.ceil(F.col("_n") / group)).withColumnRenamed("source", "_source")
+        groups = materialize(open_.groupBy("source").agg(F.count(F.lit(1)).alias("_n")).withColumn("_groups", F.ceil(F.col("_n") / group)).withColumnRenamed("source", "_source"), "groups")
         most = groups.agg(F.max("_n")).first()[0]
         if not most:
             break
-
         dealt = open_.join(groups, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_group", F.pmod(F.xxhash64("_tie", F.lit(level)), "_groups"))
         dealt = dealt.drop("_source", "_n", "_groups")
-        rounded = materialize(dealt.groupBy("source", "_group").applyInPandas(_round_groups(seed, level, most <= group), f"{kinds}, copies int, _open boolean"), "rounded")
-        results.append(rounded.where("not _open").select(*names, "source_size", "target", "copies"))
-        open_ = rounded.where("_open").drop("copies", "_open")
+        rounded = materialize(dealt.groupBy("source", "_group").applyInPandas(_round_groups(seed, level, most <= group), f"{kinds}, _copies long, _open boolean"), "rounded")
+        results.append(rounded.where("not _open").select(*done))
+        open_ = rounded.where("_open").drop("_copies", "_open")
         level += 1
         if most <= group:
             break
@@ -227,12 +185,13 @@ def mix(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str =
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     sized = materialize(sized, "sizes")
     taken = copies(sized, source_targets(sized), seed)
-    return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    each = taken.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
+    each = each.withColumn("copies", (F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_k") <= F.col("_copies") % F.col("_rows")).cast("int")).cast("int"))
+    return each.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0, text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents as often as the mix takes them, columns unchanged."""
     sized = docs.select(*row_key(docs), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"))
     sized = materialize(sized, "sizes")
-    taken = copies(sized, source_targets(sized), seed)
-    return repeat_rows(docs, taken.groupBy("_a", "_b").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")))
+    return repeat_rows(docs, copies(sized, source_targets(sized), seed).select("_a", "_b", "_copies", "_rows"))
