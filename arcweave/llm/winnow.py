@@ -1,27 +1,32 @@
 """Document fingerprints by winnowing.
 
-The words of a text (maximal runs without white space) give a hash for every
-``K`` consecutive words, composed from hashes of shorter runs; in every window
-of ``W`` such hashes the smallest is chosen, the rightmost among equal ones. The
-chosen hashes are kept with their word positions. Two texts that share
-``W + K - 1`` words in a row share a chosen hash, whatever surrounds them.
-
-A point is one non-negative long: 32 bits of hash, then 31 bits of position
-(reversed inside the computation, so that one minimum gives both the smallest
-hash and the rightmost place). Windows take logarithmically many passes over an
-array and nothing leaves the row. The fingerprint as a string is the points in
-text order, in hexadecimal, separated by a space.
+The words of a text (maximal runs without white space) give a rolling hash for
+every ``K`` consecutive words: the hashes of the words, each rotated by its
+distance from the last, combined by exclusive or, so that a run's hash follows
+from the one before, or from those of its two halves. In every window of ``W``
+such hashes the smallest is chosen, the rightmost among equal ones. The chosen
+hashes are kept with their word positions. Two texts that share ``W + K - 1``
+words in a row share a chosen hash, whatever surrounds them. A text of fewer than
+``FEW`` words gives such points of its bytes as well, by ``BYTES`` in place of
+``K``, so short texts and texts without spaces are not a hash or two.
+
+A point is a 64-bit hash and a position. Hashes are compared by 32 of their bits,
+packed with the position (reversed) in one number, so that one minimum gives both
+the smallest hash and the rightmost place. Windows take logarithmically many
+passes over an array and nothing leaves the row. The fingerprint as a string is
+the points in text order, hash and position in hexadecimal, those of bytes last.
 
 The likeness of two fingerprints is Dice's: twice the shared hashes over the sum
 of the distinct hashes of both.
 
-Defined results: a null text is an empty one; a text without words has the empty
-fingerprint; with fewer than ``K`` words its one hash is that of all its words;
-with fewer than ``W`` hashes there is one window; two empty fingerprints have
-likeness 1, an empty and another one 0. Neighbours are in ascending order of id,
-then text, null ids last; the first document follows the last; a document alone
-is its own neighbour; repeated rows are documents of their own; further columns
-are ignored; an empty table gives an empty table.
+Defined results: a null text is an empty one; a text without words or bytes has the
+empty fingerprint; with fewer than ``K`` words its one word hash is that of all its
+words; with fewer than ``W`` hashes there is one window; a very long text is
+fingerprinted whole; two empty fingerprints have likeness 1, an empty and another
+one 0. Neighbours are in ascending order of id, then text, null ids last; the
+first document follows the last; a document alone is its own neighbour; repeated
+rows are documents of their own; further columns are ignored; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,10 +36,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcweave.llm.text import SPACE, let, run_hashes, shifted
+from arcweave.llm.text import SPACE, let, shifted
 
 K = 5
 W = 8
+#: Consecutive bytes of a hash, and the words from which a text has no hashes of bytes.
+BYTES = 8
+FEW = 48
 LOW = (1 << 31) - 1
 HIGH = ((1 << 32) - 1) << 31
 
@@ -49,9 +57,29 @@ def _words(text: Column) -> Column:
     return let(parts, lambda p: F.when(F.array_contains(p, ""), F.filter(p, lambda w: w != "")).otherwise(p))
 
 
-def _grams(words: Column, k: int) -> Column:
-    """Hashes of all runs of k words; a shorter text gives one hash of all."""
-    return F.when(F.size(words) >= k, run_hashes(words, k)).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+def _joined(before: Column, after: Column, length: int) -> Column:
+    """The rolling hash of a run, from that of its first part and of the ``length`` tokens after it."""
+    turned = F.shiftleft(before, length % 64).bitwiseOR(F.shiftrightunsigned(before, 64 - length % 64)) if length % 64 else before
+    return turned.bitwiseXOR(after)
+
+
+def _rolled(single: Column, k: int) -> Column:
+    """Rolling hashes of all runs of k tokens, from an array of k hashes of tokens or more."""
+
+    def build(have: Column | None, length: int, power: Column, size: int) -> Column:
+        """``have`` covers ``length`` tokens from each place on, ``power`` covers ``size``; bits of k not yet used lie at or above ``size``."""
+        if k & size:
+            have, length = (power, size) if have is None else (shifted(have, power, length, lambda x, y: _joined(x, y, size)), length + size)
+        if length == k:
+            return have
+        return let(shifted(power, power, size, lambda x, y: _joined(x, y, size)), lambda p: build(have, length, p, 2 * size))
+
+    return build(None, 0, single, 1)
+
+
+def _grams(tokens: Column, k: int) -> Column:
+    """Hashes of all runs of k tokens, from the tokens' hashes; a shorter text gives one hash of all."""
+    return F.when(F.size(tokens) >= k, _rolled(tokens, k)).when(F.size(tokens) > 0, F.array(F.xxhash64(tokens))).otherwise(tokens)
 
 
 def _window_minima(values: Column, w: int) -> Column:
@@ -66,19 +94,38 @@ def _window_minima(values: Column, w: int) -> Column:
     return F.when(F.size(values) >= w, build(values, 1)).when(F.size(values) > 0, F.array(F.array_min(values))).otherwise(values)
 
 
+def _chosen(tokens: Column, k: int, w: int) -> Column:
+    """The points (h, i) of the minima of all windows over runs of tokens, in order."""
+
+    def of(grams: Column) -> Column:
+        packed = F.transform(grams, lambda x, i: x.bitwiseAND(F.lit(HIGH)).bitwiseOR(F.lit(LOW).cast("bigint") - i))
+        places = F.transform(F.array_distinct(let(packed, lambda v: _window_minima(v, w))), lambda p: (F.lit(LOW).cast("bigint") - p.bitwiseAND(F.lit(LOW))).cast("int"))
+        return F.transform(places, lambda i: F.struct(F.get(grams, i).alias("h"), i.alias("i")))
+
+    return let(_grams(tokens, k), of)
+
+
 def points(text: Column, k: int = K, w: int = W) -> Column:
-    """The chosen (hash, position) points of a text, in text order, as non-negative longs."""
-    values = let(let(_words(text), lambda x: _grams(x, k)), lambda g: F.transform(g, lambda x, i: x.bitwiseAND(F.lit(HIGH)).bitwiseOR(F.lit(LOW).cast("bigint") - i)))
-    chosen = F.array_distinct(let(values, lambda v: _window_minima(v, w)))
-    return F.transform(chosen, lambda p: p.bitwiseXOR(F.lit(LOW).cast("bigint")))
+    """The chosen points (hash h, position i) of a text: those of words, then those of bytes if words are few."""
+    text = F.coalesce(text, F.lit(""))
+
+    def octet_hashes(octets: Column) -> Column:
+        places = F.when(F.length(octets) > 0, F.sequence(F.lit(1), F.length(octets))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.xxhash64(F.substring(octets, i, F.lit(1)), F.lit(BYTES)))
+
+    def of(words: Column) -> Column:
+        own = let(F.transform(words, lambda x: F.xxhash64(x)), lambda x: _chosen(x, k, w))
+        return F.when(F.size(words) < FEW, F.concat(own, let(let(F.encode(text, "UTF-8"), octet_hashes), lambda x: _chosen(x, BYTES, w)))).otherwise(own)
+
+    return let(_words(text), of)
 
 
 def as_string(found: Column) -> Column:
-    return F.array_join(F.transform(found, lambda p: F.hex(p)), " ")
+    return F.array_join(F.transform(found, lambda p: F.concat_ws(".", F.hex(p["h"]), F.hex(p["i"]))), " ")
 
 
 def hashes(found: Column) -> Column:
-    return F.array_distinct(F.transform(found, lambda p: F.shiftright(p, 31)))
+    return F.array_distinct(F.transform(found, lambda p: p["h"]))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -14,48 +14,48 @@ def hash_(data, seed=42):
     return xxhash.xxh64_intdigest(data, seed)
 
 
-def pair(a, b):
-    return hash_(struct.pack("<Q", b), hash_(struct.pack("<Q", a)))
-
-
-def run_hash(h, i, k):
-    """The hash of k words from i on: of the halves by powers of two, the small one first."""
-    power = {1: h[i]}
-    out, used, size = None, 0, 1
-    full = lambda at, n: h[at] if n == 1 else pair(full(at, n // 2), full(at + n // 2, n // 2))
-    del power
-    while used < k:
-        if k & size:
-            part = full(i + used, size)
-            out, used = (part if out is None else pair(out, part)), used + size
-        size *= 2
-    return out
+def turned(x, n):
+    n %= 64
+    return (x << n | x >> (64 - n)) & (1 << 64) - 1 if n else x
 
 
-def brute(text, k=winnow.K, w=winnow.W):
-    words = WORD.findall(text or "")
-    if not words:
+def winnowed(h, k, w):
+    """Points (hash, position) from hashes of tokens: each run's hash rolls on from the one before."""
+    if not h:
         return []
-    h = [hash_(x.encode()) for x in words]
-    if len(words) < k:
+    if len(h) < k:
         seed = 42
-        for x in words:
-            seed = hash_(x.encode(), seed)
+        for x in h:
+            seed = hash_(struct.pack("<Q", x), seed)
         grams = [seed]
     else:
-        grams = [run_hash(h, i, k) for i in range(len(words) - k + 1)]
-    grams = [(g >> 31) & 0xFFFFFFFF for g in grams]
+        now = 0
+        for x in h[:k]:
+            now = turned(now, 1) ^ x
+        grams = [now]
+        for gone, come in zip(h, h[k:], strict=False):
+            now = turned(now ^ turned(gone, k - 1), 1) ^ come
+            grams.append(now)
     out = []
     for s in range(max(1, len(grams) - w + 1)):
-        window = grams[s : s + w]
-        p = s + max(i for i, x in enumerate(window) if x == min(window))
-        if (grams[p], p) not in out[-1:]:
+        order = [(g >> 31) & 0xFFFFFFFF for g in grams[s : s + w]]
+        p = s + max(i for i, x in enumerate(order) if x == min(order))
+        if (grams[p], p) not in out:
             out.append((grams[p], p))
     return out
 
 
+def brute(text, k=winnow.K, w=winnow.W):
+    words = WORD.findall(text or "")
+    out = winnowed([hash_(x.encode()) for x in words], k, w)
+    if len(words) < winnow.FEW:
+        octets = [hash_(struct.pack("<i", winnow.BYTES), hash_(bytes([b]))) for b in (text or "").encode()]
+        out = out + winnowed(octets, winnow.BYTES, w)
+    return out
+
+
 def shown(points):
-    return " ".join(f"{h << 31 | p:X}" for h, p in points)
+    return " ".join(f"{h:X}.{p:X}" for h, p in points)
 
 
 def dice(a, b):
@@ -79,7 +79,7 @@ def check(rows, texts):
 def test_against_brute_force(docs, sample, monkeypatch, run):
     monkeypatch.setattr(winnow, "RUN", run)
     monkeypatch.setattr(winnow, "LOOKS", 2)
-    texts = [*sample[:120], None, "", "one", "a b c d e", "x " * 60, "été 😀 " * 30, "é😀"]
+    texts = [*sample[:120], None, "", "one", "a b c d e", "x " * 60, "été 😀 " * 30, "é😀", "z" * 700, " \n ", "w " * 47, "w " * 48]
     found = sorted(winnow.compare_edited(docs(texts)).collect(), key=lambda r: r["doc_id"])
     assert len(found) == len(texts)
     check(found, texts)
@@ -106,3 +106,37 @@ def test_guarantee():
         shared = [f"s{draw.randrange(9)}" for _ in range(winnow.W + winnow.K - 1)]
         a, b = ([f"{x}{draw.randrange(50)}" for _ in range(draw.randrange(30))] + shared + [f"{x}{draw.randrange(50)}" for _ in range(draw.randrange(30))] for x in "ab")
         assert {h for h, _ in brute(" ".join(a))} & {h for h, _ in brute(" ".join(b))}
+
+
+def test_short_texts_are_like_their_edits(docs, sample):
+    """The edit keeps half of a text; a text of 40 bytes or more shares points with it, with or without spaces."""
+    texts = [t for t in sample if t and 40 <= len(t) < 400]
+    texts += ["".join(chr(97 + (k * k + 3 * k * n) % 26) for k in range(60)) for n in range(1, 6)]
+    found = winnow.compare_edited(docs(texts)).collect()
+    assert all(r["near_edited"] > 0 for r in found) and len(texts) > 10
+
+
+def test_very_long_texts(docs):
+    import random
+
+    draw = random.Random(1)
+    long = " ".join(f"w{draw.randrange(10**6)}" for _ in range(150_000))
+    found = {r["doc_id"]: r for r in winnow.compare_edited(docs([long, "x" * 300_000, long])).collect()}
+    assert found[0]["fingerprint"] == found[2]["fingerprint"] == shown(brute_long(long)) and found[2]["near_next"] == 1.0
+
+
+def brute_long(text):
+    """As ``brute``, for a text of many words, with a queue."""
+    h = [hash_(x.encode()) for x in text.split()]
+    now, grams = 0, []
+    for i, x in enumerate(h):
+        now = turned(now, 1) ^ x ^ (turned(h[i - winnow.K], winnow.K) if i >= winnow.K else 0)
+        if i >= winnow.K - 1:
+            grams.append(now)
+    order, out, last = [(g >> 31) & 0xFFFFFFFF for g in grams], [], -1
+    for s in range(len(grams) - winnow.W + 1):
+        p = max(range(s, s + winnow.W), key=lambda i: (-order[i], i))
+        if p != last:
+            out.append((grams[p], p))
+            last = p
+    return out
