@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.plans.lineage import materialize
+from arcweave.plans.ordering import number_rows
 
 #: Edges up to which an operator may work in one group in memory; beyond it the relational form runs, or an error says so.
 KERNEL_MAX_EDGES = 2_000_000
@@ -28,7 +29,7 @@ class Graph:
 
     @classmethod
     def from_edges(cls, edges: DataFrame, directed: bool = True, keep: bool = True) -> Graph:
-        """Builds from rows of src, dst and perhaps weight (else 0) and ord (else ranked by src, dst).
+        """Builds from rows of src, dst and perhaps weight (else 0) and ord (else ranked by src, dst); of rows of one ord the largest weight stays.
 
         ``keep`` writes the deduplicated edges to the shared folder, as loops read them often.
         """
@@ -37,7 +38,9 @@ class Graph:
         ord_ = F.col("ord").cast("long") if "ord" in names else F.lit(0).cast("long")
         src, dst = F.col("src").cast("long"), F.col("dst").cast("long")
         rows = edges.select((src if directed else F.least(src, dst)).alias("src"), (dst if directed else F.greatest(src, dst)).alias("dst"), weight.alias("weight"), ord_.alias("ord"), (src > dst).alias("_turned"))
-        rows = rows.groupBy("src", "dst").agg(F.max_by("weight", "ord").alias("weight"), F.min("ord").alias("ord"), F.min_by("_turned", "ord").alias("_turned"))
+        rows = rows.groupBy("src", "dst").agg(F.max_by("weight", F.struct("ord", "weight")).alias("weight"), F.min("ord").alias("ord"), F.min_by("_turned", F.struct("ord", "_turned")).alias("_turned"))
+        if "ord" not in names:
+            rows = number_rows(rows.drop("ord"), F.col("src"), F.col("dst"), name="ord")
         if keep:
             rows = materialize(rows, "graph")
         # the end that stands first on the line where an edge first appears comes first

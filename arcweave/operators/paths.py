@@ -90,14 +90,21 @@ def sssp(g: Graph, source: int, weight: str | Column | None = None, parents: boo
     return out if parents else out.select("id", "distance")
 
 
-def st_path(g: Graph, source: int, target: int, method: str = "uni", weight: str | Column | None = None, heuristic: dict[int, float] | None = None, engine: str = "auto") -> DataFrame:
+def st_path(g: Graph, source: int, target: int, method: str = "uni", weight: str | Column | None = None, heuristic: DataFrame | None = None, engine: str = "auto") -> DataFrame:
     """(step, src, dst, cost, distance): the arcs of a shortest path, with running distance; no rows if there is none.
 
     ``method``: from the source ("uni"), from both ends ("bi"), or guided by
-    lower bounds of the distance to the target ("astar", ids left out count 0).
+    lower bounds of the distance to the target ("astar"): ``heuristic`` has id and
+    bound, ids left out count 0. Only the kernel looks at bounds.
     """
     g = _weighted(g, weight)
     g.require(source, target)
+    if method == "astar" and heuristic is not None:
+        bound = heuristic.select(F.col("id").alias("_id"), F.col("bound").cast("double").alias("bound"))
+        marked = g.edges
+        for end in ("src", "dst"):
+            marked = marked.join(bound.withColumnRenamed("bound", f"{end}_bound"), F.col(end) == F.col("_id"), "left").drop("_id")
+        g = Graph(marked, g.vertices, g.directed)
     if engine == "kernel" or (engine == "auto" and g.small()):
         both = not g.directed
 
@@ -107,7 +114,10 @@ def st_path(g: Graph, source: int, target: int, method: str = "uni", weight: str
                 into = arcs if both else search.adjacency(rows.dst.tolist(), rows.src.tolist(), rows.weight.tolist(), rows.ord.tolist())
                 found = search.two_sided(arcs, into, source, target) or []
             else:
-                guess = (lambda v: heuristic.get(v, 0.0)) if method == "astar" and heuristic else None
+                guess = None
+                if "dst_bound" in rows:
+                    known = {v: b for end in ("src", "dst") for v, b in zip(rows[end].tolist(), rows[f"{end}_bound"].tolist(), strict=True) if b == b}
+                    guess = lambda v: known.get(v, 0.0)
                 distance, parent = search.dijkstra(arcs, source, target, guess)
                 found = search.path_arcs(arcs, parent, target) if target in distance else []
             return [(k, u, v, w) for k, (u, v, w) in enumerate(found)]

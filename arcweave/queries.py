@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from arcweave.functions import adjacency, codes
 from arcweave.operators import coloring, flow, matching, paths, traversal
 from arcweave.plans import samples
-from arcweave.plans.lineage import materialize
-from arcweave.sources import catalog
+from arcweave.plans.lineage import materialize, shared_folder
+from arcweave.sources import catalog, edges
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,16 +61,16 @@ def graph_vertices(spark: SparkSession, d: str) -> DataFrame:
     return samples.part_seq(spark, d).vertices
 
 
-@query(f"WITH {SEQ} SELECT src AS id, dst AS neighbor, weight FROM edges WHERE src % 10 = 0")
+@query(f"WITH {SEQ} SELECT src AS id, dst AS neighbor, weight FROM edges")
 def neighbors_out(spark: SparkSession, d: str) -> DataFrame:
     g = samples.part_seq(spark, d)
-    return g.neighbors(g.vertices.where("id % 10 = 0"))
+    return g.neighbors(g.vertices)
 
 
-@query(f"WITH {SEQ} SELECT dst AS id, src AS neighbor, weight FROM edges WHERE dst % 10 = 0")
+@query(f"WITH {SEQ} SELECT dst AS id, src AS neighbor, weight FROM edges")
 def neighbors_in(spark: SparkSession, d: str) -> DataFrame:
     g = samples.part_seq(spark, d).reverse()
-    return g.neighbors(g.vertices.where("id % 10 = 0"))
+    return g.neighbors(g.vertices)
 
 
 @query(f"WITH {SEQ}, {samples.BOTH_SQL} SELECT src AS id, dst AS neighbor FROM arcs")
@@ -78,10 +79,10 @@ def neighbors_undirected(spark: SparkSession, d: str) -> DataFrame:
     return g.neighbors(g.vertices).select("id", "neighbor")
 
 
-@query(f"WITH {SEQ} SELECT src, dst, weight FROM edges WHERE (src + dst) % 7 = 0")
+@query(f"WITH {SEQ} SELECT src, dst, weight FROM edges")
 def edge_weights(spark: SparkSession, d: str) -> DataFrame:
     g = samples.part_seq(spark, d)
-    return g.edge_weight(g.edges.where("(src + dst) % 7 = 0"))
+    return g.edge_weight(g.edges)
 
 
 @query(f"WITH {SEQ}, {samples.BOTH_SQL}, deg AS (SELECT src AS id, count(*) AS degree FROM arcs GROUP BY src) SELECT max(degree) AS degree FROM deg")
@@ -153,12 +154,12 @@ def strong_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bipartite_sides(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.bipartition(samples.part_supplier(spark, d, 50))
+    return traversal.bipartition(samples.part_supplier(spark, d))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS odd")
 def bipartite_test(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.is_bipartite(samples.part_supplier(spark, d, 50)).agg(F.count_if(~F.col("bipartite")).alias("odd"))
+    return traversal.is_bipartite(samples.part_supplier(spark, d)).agg(F.count_if(~F.col("bipartite")).alias("odd"))
 
 
 @query()
@@ -236,7 +237,7 @@ def path_cost_guided(spark: SparkSession, d: str) -> DataFrame:
     g = samples.part_seq(spark, d, 45)
     target = _target(g)
     # every arc weighs 45 or more, so 45 for each arc still to go is a lower bound
-    back = {r[0]: 45.0 * r[1] for r in traversal.bfs(g.reverse(), target).select("id", "level").collect()}
+    back = traversal.bfs(g.reverse(), target).select("id", (F.col("level") * 45.0).alias("bound"))
     return paths.st_path(g, 0, target, "astar", heuristic=back).agg(F.sum("cost").alias("cost"))
 
 
@@ -412,12 +413,12 @@ def global_min_cut_recursive(spark: SparkSession, d: str) -> DataFrame:
 
 def _matching_query(method: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        g = samples.part_supplier(spark, d, 49)
+        g = samples.part_supplier(spark, d)
         return matching.matching_report(g, materialize(matching.bipartite_matching(g, method), "matching"))
 
     QUERIES[f"matching_{method}"] = run
     # every supplier can be matched on these tables; parts are many times more
-    SQL[f"matching_{method}"] = "SELECT count(DISTINCT l_suppkey) AS pairs, CAST(0 AS BIGINT) AS used_twice, CAST(0 AS BIGINT) AS not_an_edge FROM lineitem WHERE l_quantity >= 49"
+    SQL[f"matching_{method}"] = "SELECT count(DISTINCT l_suppkey) AS pairs, CAST(0 AS BIGINT) AS used_twice, CAST(0 AS BIGINT) AS not_an_edge FROM lineitem"
 
 
 for _method in ("hopcroft_karp", "flow"):
@@ -535,6 +536,41 @@ def knn_edges(spark: SparkSession, d: str) -> DataFrame:
     return samples.part_knn(spark, d).edges.select("src", "dst", "weight")
 
 
+# --- files ---------------------------------------------------------------------
+
+
+def _written(spark: SparkSession, lines: DataFrame, compression: str = "none") -> str:
+    """A folder of text files with one ``value`` a line."""
+    path = f"{shared_folder(spark)}/arcweave/files-{uuid.uuid4().hex}"
+    lines.write.option("compression", compression).text(path)
+    return path
+
+
+def _reader(kind: str, line: str, sql: str) -> None:
+    """Writes the weighted graph in a format, and reads it back; other kinds of lines of the format stand between."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = samples.part_seq(spark, d).edges.selectExpr(f"explode(split({line}, '\\n')) AS value")
+        return edges.read(spark, _written(spark, rows, "gzip"), kind).select("src", "dst", "weight")
+
+    QUERIES[f"read_{kind}"] = run
+    SQL[f"read_{kind}"] = f"WITH {SEQ} SELECT src, dst, {sql} AS weight FROM edges"
+
+
+_reader("edges", "concat('# ', src, '\\n\\n  ', src, '  ', dst, '\\t', weight, ' more')", "weight")
+_reader("unweighted", "concat(src, ' ', dst, ' ', weight)", "CAST(0 AS DOUBLE)")
+_reader("tab", "concat('#', src, '\\n', src, '\\t', dst, '\\t', weight)", "weight")
+_reader("dimacs", "concat('c note\\n', 'a ', src, ' ', dst, ' ', weight)", "weight")
+_reader("ratings", "concat(src, ',', dst, ',', weight, ',1234')", "weight")
+
+
+@query(f"WITH {SEQ} SELECT src, dst, weight FROM edges")
+def write_read_edges(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/arcweave/files-{uuid.uuid4().hex}"
+    edges.write_edges(samples.part_seq(spark, d).edges, path)
+    return edges.read_edges(spark, path).select("src", "dst", "weight")
+
+
 # --- catalog -------------------------------------------------------------------
 
 #: Datasets of this package's own: name, directed, weighted, and marks for the four problems.

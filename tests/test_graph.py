@@ -113,3 +113,20 @@ def test_connectivity(spark):
     assert mapping(traversal.strongly_connected_components(graph(spark, WALK7))) == {0: 0, 1: 4, 2: 4, 3: 4, 4: 4, 5: 5, 6: 6}
     assert rows(traversal.is_bipartite(graph(spark, COMP8))) == [(1, False)]
     assert mapping(traversal.bipartition(graph(spark, "1-2 2-3 3-4 4-1")), "id", "side") == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
+def test_guided_search_with_inconsistent_bounds(spark):
+    """A vertex that was closed opens again when a shorter way to it is found: 0-2-1-3 costs 7, 0-1-3 costs 9."""
+    g = made(spark, [(0, 1, 4.0, 0), (0, 2, 1.0, 1), (2, 1, 1.0, 2), (1, 3, 5.0, 3)])
+    bounds = spark.createDataFrame([(2, 6.0)], "id long, bound double")
+    path = paths.st_path(g, 0, 3, "astar", heuristic=bounds).orderBy("step").collect()
+    assert [(r["src"], r["dst"]) for r in path] == [(0, 2), (2, 1), (1, 3)] and path[-1]["distance"] == 7.0
+
+
+def test_edges_without_order_are_ranked(spark):
+    from arcweave.graph import Graph
+
+    given = [(5, 1, 2.0), (1, 2, 7.0), (1, 2, 3.0), (5, 1, 1.0)]
+    for parts in (1, 3):
+        g = Graph.from_edges(spark.createDataFrame(given, "src long, dst long, weight double").repartition(parts))
+        assert rows(g.edges, "src", "dst", "weight", "ord") == [(1, 2, 7.0, 0), (5, 1, 2.0, 1)]
