@@ -149,12 +149,16 @@ def bipartition(g: Graph) -> DataFrame:
     u = g if not g.directed else Graph(g.edges, g.vertices, False)
     arcs = u.arcs().select("src", "dst")
     found = near = materialize(labels.where("id = component").select("id", F.lit(0).alias("side")), "near")
+    level = 0
     while True:
+        level += 1
         step = near.join(arcs, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (1 - F.col("side")).alias("side")).distinct()
         near = materialize(step.join(found.select("id"), "id", "left_anti"), "near")
         if near.isEmpty():
             break
         found = found.union(near)
+        if level % COMPACT == 0:
+            found = materialize(found, "found")
     found = found.join(labels, "id")
     ends = arcs.join(found.select(F.col("id").alias("src"), F.col("side").alias("a"), "component"), "src").join(found.select(F.col("id").alias("dst"), F.col("side").alias("b")), "dst")
     odd = ends.where("a = b").select("component").distinct().withColumn("odd", F.lit(True))
@@ -218,6 +222,8 @@ def _relational_bridges(u: Graph) -> DataFrame:
             break
         tree = tree.union(near)
         depth += 1
+        if depth % COMPACT == 0:
+            tree = materialize(tree, "tree")
     tree = materialize(tree, "tree")
     # subtree sizes, bottom up
     sizes = {depth: materialize(tree.where(F.col("level") == depth).select("id", "parent", F.lit(1).cast("long").alias("size")), "size")}
@@ -233,6 +239,8 @@ def _relational_bridges(u: Graph) -> DataFrame:
     every = numbers[0]
     for level in range(1, depth + 1):
         every = every.union(numbers[level])
+        if level % COMPACT == 0:
+            every = materialize(every, "numbered")
     every = materialize(every, "numbered")
     num = every.select("id", "num", "parent")
     other = arcs.join(num.select(F.col("id").alias("src"), F.col("parent").alias("p")), "src").join(num.select(F.col("id").alias("dst"), F.col("num").alias("to"), F.col("parent").alias("q")), "dst")
@@ -245,6 +253,8 @@ def _relational_bridges(u: Graph) -> DataFrame:
         below = reach.groupBy(F.col("parent").alias("id")).agg(F.min("l").alias("bl"), F.max("h").alias("bh"))
         reach = materialize(own.where(F.col("level") == level).join(below, "id", "left").select("id", "parent", "size", "num", F.least("l", F.coalesce("bl", "l")).alias("l"), F.greatest("h", F.coalesce("bh", "h")).alias("h"), "level"), "reach")
         all_ = all_.union(reach)
+        if level % COMPACT == 0:
+            all_ = materialize(all_, "reach")
     found = all_.where("parent is not null and l = num and h < num + size")
     return found.select(F.least("id", "parent").alias("src"), F.greatest("id", "parent").alias("dst"))
 

@@ -15,20 +15,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def part_seq(spark: SparkSession, sf_dir: str, least: int = 40, directed: bool = True) -> Graph:
-    """Parts that follow each other in an order, from lines of at least this quantity; the weight is the smallest."""
+def _follows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, q): a line's part, the part of the order's next line, and the quantity."""
     line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(line).alias("dst"), F.col("l_quantity").alias("q"))
-    rows = rows.where((F.col("q") >= least) & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
-    edges = rows.groupBy("src", "dst").agg(F.min("q").alias("weight")).withColumn("ord", F.expr(ORD))
+    return rows.where(F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
+
+
+def part_seq(spark: SparkSession, sf_dir: str, directed: bool = True) -> Graph:
+    """Parts that follow each other in an order; the weight is the smallest quantity."""
+    edges = _follows(spark, sf_dir).groupBy("src", "dst").agg(F.min("q").alias("weight")).withColumn("ord", F.expr(ORD))
     return Graph.from_edges(edges, directed)
 
 
-def part_seq_sql(least: int = 40) -> str:
-    return f"""seq AS (
+FOLLOWS_SQL = """seq AS (
     SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS dst, l_quantity AS q FROM lineitem
-), edges AS (
-    SELECT src, dst, min(q) AS weight FROM seq WHERE q >= {least} AND dst IS NOT NULL AND src <> dst GROUP BY src, dst
+)"""
+PART_SEQ_SQL = f"""{FOLLOWS_SQL}, edges AS (
+    SELECT src, dst, min(q) AS weight FROM seq WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst
+)"""
+
+
+def part_next(spark: SparkSession, sf_dir: str, directed: bool = True, k: int = 2) -> Graph:
+    """From each part to the k parts that follow it with the most quantity in all, ties to the smaller id; the weight is that quantity.
+
+    Sparse and deep where ``part_seq`` is dense and shallow.
+    """
+    sums = _follows(spark, sf_dir).groupBy("src", "dst").agg(F.sum("q").alias("weight"))
+    best = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
+    edges = sums.withColumn("k", best).where(F.col("k") <= k).select("src", "dst", "weight", F.expr(ORD).alias("ord"))
+    return Graph.from_edges(edges, directed)
+
+
+def part_next_sql(k: int = 2) -> str:
+    return f"""{FOLLOWS_SQL}, edges AS (
+    SELECT src, dst, sum(q) AS weight FROM seq WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst QUALIFY row_number() OVER (PARTITION BY src ORDER BY sum(q) DESC, dst) <= {k}
 )"""
 
 
@@ -52,9 +73,9 @@ PART_KNN_SQL = """lines AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
 )"""
 
 
-def part_supplier(spark: SparkSession, sf_dir: str, least: int = 1) -> Graph:
-    """Bipartite: part p, as 2p, to supplier s, as 2s + 1, for lines of at least this quantity."""
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least)
+def part_supplier(spark: SparkSession, sf_dir: str) -> Graph:
+    """Bipartite: part p, as 2p, to supplier s, as 2s + 1."""
+    lines = table(spark, sf_dir, "lineitem")
     edges = lines.select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).distinct()
     return Graph.from_edges(edges.select("src", "dst", F.expr(ORD).alias("ord")))
 

@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-SEQ, DEEP, LARGE = samples.part_seq_sql(40), samples.part_seq_sql(48), samples.part_seq_sql(45)
+SEQ, NEXT, FIRST = samples.PART_SEQ_SQL, samples.part_next_sql(), samples.part_next_sql(1)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -113,12 +113,21 @@ def bfs_undirected(spark: SparkSession, d: str) -> DataFrame:
     return traversal.bfs(samples.part_seq(spark, d, directed=False))
 
 
-@query(f"WITH RECURSIVE {DEEP}{BFS_SQL.format(arcs='edges')}")
+@query(f"WITH RECURSIVE {NEXT}{BFS_SQL.format(arcs='edges')}")
 def bfs_deep(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.bfs(samples.part_seq(spark, d, 48))
+    return traversal.bfs(samples.part_next(spark, d))
 
 
-@query()
+# place: a vertex's place in its level, by its parent's place and then by id, as arcs are in the order of their ends
+QUEUE_SQL = """, bfs(id, level, place, parent) USING KEY (id) AS (
+    SELECT CAST(0 AS BIGINT), 0, CAST(1 AS BIGINT), CAST(NULL AS BIGINT) UNION
+    SELECT id, level, row_number() OVER (ORDER BY up, id), parent FROM (
+        SELECT e.dst AS id, max(b.level) + 1 AS level, min(b.place) AS up, arg_min(b.id, b.place) AS parent
+        FROM bfs b JOIN edges e ON b.id = e.src WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs r WHERE r.id = e.dst) GROUP BY e.dst)
+) SELECT id, level, parent FROM bfs"""
+
+
+@query(f"WITH RECURSIVE {SEQ}{QUEUE_SQL}")
 def bfs_queue_order(spark: SparkSession, d: str) -> DataFrame:
     return traversal.bfs(samples.part_seq(spark, d), parent="queue")
 
@@ -128,6 +137,21 @@ def dfs_order(spark: SparkSession, d: str) -> DataFrame:
     return traversal.dfs(samples.part_seq(spark, d))
 
 
+# one row a step: the stack of (vertex, pushed by), its top last, and the vertices visited so far
+DFS_SQL = """, heads AS (SELECT src, list({id: dst, up: src} ORDER BY dst) AS next FROM edges GROUP BY src
+), walk(step, id, up, fresh, stack, seen) AS (
+    SELECT 0, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), true, (SELECT next FROM heads WHERE src = 0), [CAST(0 AS BIGINT)] UNION ALL
+    SELECT step + 1, top.id, top.up, fresh, CASE WHEN fresh THEN list_concat(rest, coalesce(next, [])) ELSE rest END, CASE WHEN fresh THEN list_append(seen, top.id) ELSE seen END
+    FROM (SELECT step, stack[-1] AS top, stack[:-2] AS rest, seen, NOT list_contains(seen, stack[-1].id) AS fresh FROM walk WHERE len(stack) > 0) LEFT JOIN heads ON src = top.id
+), visits AS (SELECT id, row_number() OVER (ORDER BY step) - 1 AS k, up FROM walk WHERE fresh)
+SELECT v.id, CAST(v.k AS INTEGER) AS visit_order, v.up AS tree_parent, (SELECT arg_max(e.src, u.k) FROM edges e JOIN visits u ON u.id = e.src WHERE e.dst = v.id) AS last_in_neighbor FROM visits v"""
+
+
+@query(f"WITH RECURSIVE {NEXT}{DFS_SQL}")
+def dfs_order_sparse(spark: SparkSession, d: str) -> DataFrame:
+    return traversal.dfs(samples.part_next(spark, d))
+
+
 @query(f"WITH RECURSIVE {SEQ}{BFS_SQL.format(arcs='edges').split(' SELECT b.id, b.level')[0]} SELECT count(*) AS reached FROM bfs")
 def dfs_reached(spark: SparkSession, d: str) -> DataFrame:
     return traversal.dfs(samples.part_seq(spark, d)).agg(F.count(F.lit(1)).alias("reached"))
@@ -139,22 +163,26 @@ CC_SQL = """, cc(id, component) USING KEY (id) AS (
 ) """
 
 
-@query(f"WITH RECURSIVE {DEEP}, {samples.BOTH_SQL}{CC_SQL} SELECT id, component FROM cc")
+@query(f"WITH RECURSIVE {NEXT}, {samples.BOTH_SQL}{CC_SQL} SELECT id, component FROM cc")
 def components(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.connected_components(samples.part_seq(spark, d, 48))
+    return traversal.connected_components(samples.part_next(spark, d))
 
 
 REACH_SQL = ", reach(a, b) AS (SELECT src, dst FROM edges UNION SELECT r.a, e.dst FROM reach r JOIN edges e ON r.b = e.src)"
 
 
-@query(f"WITH RECURSIVE {samples.part_seq_sql(50)}{REACH_SQL}, v AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges) SELECT v.id, greatest(v.id, coalesce(max(r.b), v.id)) AS component FROM v LEFT JOIN reach r ON r.a = v.id AND EXISTS (SELECT 1 FROM reach q WHERE q.a = r.b AND q.b = r.a) GROUP BY v.id")
+@query(f"WITH RECURSIVE {NEXT}{REACH_SQL}, v AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges) SELECT v.id, greatest(v.id, coalesce(max(r.b), v.id)) AS component FROM v LEFT JOIN reach r ON r.a = v.id AND EXISTS (SELECT 1 FROM reach q WHERE q.a = r.b AND q.b = r.a) GROUP BY v.id")
 def strong_components(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.strongly_connected_components(samples.part_seq(spark, d, 50))
+    return traversal.strongly_connected_components(samples.part_next(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FIRST}, {samples.BOTH_SQL}{CC_SQL}, level(id, level) USING KEY (id) AS (
+    SELECT id, 0 FROM cc WHERE id = component UNION
+    SELECT a.dst, min(l.level) + 1 FROM level l JOIN arcs a ON l.id = a.src WHERE NOT EXISTS (SELECT 1 FROM recurring.level r WHERE r.id = a.dst) GROUP BY a.dst
+), odd AS (SELECT DISTINCT component FROM arcs JOIN level a ON a.id = src JOIN level b ON b.id = dst JOIN cc ON cc.id = src WHERE a.level % 2 = b.level % 2)
+SELECT id, CAST(level % 2 AS INTEGER) AS side, component, component NOT IN (SELECT component FROM odd) AS bipartite FROM level JOIN cc USING (id)""")
 def bipartite_sides(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.bipartition(samples.part_supplier(spark, d))
+    return traversal.bipartition(samples.part_next(spark, d, k=1))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS odd")
@@ -162,29 +190,52 @@ def bipartite_test(spark: SparkSession, d: str) -> DataFrame:
     return traversal.is_bipartite(samples.part_supplier(spark, d)).agg(F.count_if(~F.col("bipartite")).alias("odd"))
 
 
-@query()
+# Blocks in SQL: a breadth-first forest; every other edge (x, y) joins, at each ancestor of an end, the two sides it leads to,
+# a side being the child towards the end, or the ancestor itself for all that is above it. Tree edges go by their lower end.
+BLOCK_SQL = f""", {samples.BOTH_SQL}{CC_SQL}, level(id, level) USING KEY (id) AS (
+    SELECT id, 0 FROM cc WHERE id = component UNION
+    SELECT a.dst, min(l.level) + 1 FROM level l JOIN arcs a ON l.id = a.src WHERE NOT EXISTS (SELECT 1 FROM recurring.level r WHERE r.id = a.dst) GROUP BY a.dst
+), tree AS (SELECT a.dst AS id, min(a.src) AS parent FROM arcs a JOIN level p ON p.id = a.src JOIN level c ON c.id = a.dst WHERE c.level = p.level + 1 GROUP BY a.dst
+), above(id, top, side) AS (SELECT id, parent, id FROM tree UNION ALL SELECT a.id, t.parent, a.top FROM above a JOIN tree t ON t.id = a.top
+), pairs AS (SELECT src, dst FROM arcs WHERE src < dst
+), other AS (SELECT src, dst FROM pairs WHERE NOT EXISTS (SELECT 1 FROM tree t WHERE (t.id = src AND t.parent = dst) OR (t.id = dst AND t.parent = src))
+), sides AS (
+    SELECT coalesce(p.side, q.top) AS a, coalesce(q.side, p.top) AS b
+    FROM (SELECT src, dst, top, side FROM other JOIN above ON id = src) p FULL JOIN (SELECT src, dst, top, side FROM other JOIN above ON id = dst) q ON p.src = q.src AND p.dst = q.dst AND p.top = q.top
+), links AS (SELECT a, b FROM sides WHERE a <> b UNION SELECT b, a FROM sides WHERE a <> b
+), block(id, name) USING KEY (id) AS (
+    SELECT id, id FROM tree UNION
+    SELECT l.b, min(k.name) FROM block k JOIN links l ON k.id = l.a JOIN recurring.block r ON r.id = l.b WHERE k.name < r.name GROUP BY l.b
+), named AS (
+    SELECT src, dst, k.name FROM other JOIN block k ON k.id = CASE WHEN EXISTS (SELECT 1 FROM tree t WHERE t.id = src) THEN src ELSE dst END UNION ALL
+    SELECT least(t.id, parent), greatest(t.id, parent), name FROM tree t JOIN block k ON k.id = t.id
+), cut AS (SELECT min(src) AS src, min(dst) AS dst FROM named GROUP BY name HAVING count(*) = 1)"""
+BRIDGE_SQL = f"WITH RECURSIVE {FIRST}{BLOCK_SQL} SELECT src, dst FROM cut"
+
+
+@query(BRIDGE_SQL)
 def bridge_edges(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.bridges(samples.part_seq(spark, d, 48))
+    return traversal.bridges(samples.part_next(spark, d, k=1))
 
 
-@query()
+@query(BRIDGE_SQL)
 def bridge_edges_relational(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.bridges(samples.part_seq(spark, d, 50), engine="relational")
+    return traversal.bridges(samples.part_next(spark, d, k=1), engine="relational")
 
 
-@query()
+@query(f"WITH RECURSIVE {FIRST}{BLOCK_SQL}, ends AS (SELECT src AS id, name FROM named UNION SELECT dst, name FROM named) SELECT id FROM ends GROUP BY id HAVING count(*) > 1")
 def articulation_vertices(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.articulation_points(samples.part_seq(spark, d, 48))
+    return traversal.articulation_points(samples.part_next(spark, d, k=1))
 
 
-@query()
+@query(f"WITH RECURSIVE {FIRST}{BLOCK_SQL} SELECT src, dst, min(src || '-' || dst) FILTER (WHERE place = 1) OVER (PARTITION BY name) AS block FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY src, dst) AS place FROM named)")
 def biconnected_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.biconnected_components(samples.part_seq(spark, d, 48))
+    return traversal.biconnected_components(samples.part_next(spark, d, k=1))
 
 
-@query()
+@query(f"WITH RECURSIVE {FIRST}{BLOCK_SQL}, kept AS (SELECT src, dst FROM pairs EXCEPT SELECT src, dst FROM cut), ways AS (SELECT src, dst FROM kept UNION SELECT dst, src FROM kept), part(id, component) USING KEY (id) AS (SELECT id, id FROM cc UNION SELECT w.dst, min(p.component) FROM part p JOIN ways w ON p.id = w.src JOIN recurring.part r ON r.id = w.dst WHERE p.component < r.component GROUP BY w.dst) SELECT id, component FROM part")
 def two_edge_components(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.two_edge_components(samples.part_seq(spark, d, 48))
+    return traversal.two_edge_components(samples.part_next(spark, d, k=1))
 
 
 # --- paths -----------------------------------------------------------------
@@ -201,61 +252,61 @@ def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     return paths.sssp(samples.part_seq(spark, d), 0)
 
 
-@query(f"WITH RECURSIVE {LARGE}{SSSP_SQL}{PARENT_SQL}")
+@query(f"WITH RECURSIVE {SEQ}{SSSP_SQL}{PARENT_SQL}")
 def shortest_paths_relational(spark: SparkSession, d: str) -> DataFrame:
-    return paths.sssp(samples.part_seq(spark, d, 45), 0, engine="relational")
+    return paths.sssp(samples.part_seq(spark, d), 0, engine="relational")
 
 
-@query(f"WITH RECURSIVE {DEEP}{SSSP_SQL} SELECT id, distance FROM sp")
+@query(f"WITH RECURSIVE {NEXT}{SSSP_SQL} SELECT id, distance FROM sp")
 def shortest_distances_deep(spark: SparkSession, d: str) -> DataFrame:
-    return paths.sssp(samples.part_seq(spark, d, 48), 0, parents=False)
+    return paths.sssp(samples.part_next(spark, d), 0, parents=False)
 
 
-COST_SQL = f"WITH RECURSIVE {LARGE}{SSSP_SQL}, {BFS_SQL.format(arcs='edges').split(' SELECT b.id, b.level')[0].lstrip(', ')} SELECT distance AS cost FROM sp WHERE id = (SELECT id FROM bfs ORDER BY level DESC, id DESC LIMIT 1)"
+COST_SQL = f"WITH RECURSIVE {SEQ}{SSSP_SQL}, {BFS_SQL.format(arcs='edges').split(' SELECT b.id, b.level')[0].lstrip(', ')} SELECT distance AS cost FROM sp WHERE id = (SELECT id FROM bfs ORDER BY level DESC, id DESC LIMIT 1)"
 
 
 @query(COST_SQL)
 def path_cost(spark: SparkSession, d: str) -> DataFrame:
-    g = samples.part_seq(spark, d, 45)
+    g = samples.part_seq(spark, d)
     return paths.st_cost(g, 0, _target(g))
 
 
 @query(COST_SQL)
 def path_cost_two_sided(spark: SparkSession, d: str) -> DataFrame:
-    g = samples.part_seq(spark, d, 45)
+    g = samples.part_seq(spark, d)
     return paths.st_cost(g, 0, _target(g), "bi")
 
 
 @query(COST_SQL)
 def path_cost_two_sided_relational(spark: SparkSession, d: str) -> DataFrame:
-    g = samples.part_seq(spark, d, 45)
+    g = samples.part_seq(spark, d)
     return paths.st_cost(g, 0, _target(g), "bi", engine="relational")
 
 
 @query(COST_SQL)
 def path_cost_guided(spark: SparkSession, d: str) -> DataFrame:
-    g = samples.part_seq(spark, d, 45)
+    g = samples.part_seq(spark, d)
     target = _target(g)
-    # every arc weighs 45 or more, so 45 for each arc still to go is a lower bound
-    back = traversal.bfs(g.reverse(), target).select("id", (F.col("level") * 45.0).alias("bound"))
+    # quantities are 1 or more, so the number of arcs still to go is a lower bound
+    back = traversal.bfs(g.reverse(), target).select("id", F.col("level").cast("double").alias("bound"))
     return paths.st_path(g, 0, target, "astar", heuristic=back).agg(F.sum("cost").alias("cost"))
 
 
 @query()
 def path_arcs(spark: SparkSession, d: str) -> DataFrame:
-    g = samples.part_seq(spark, d, 45)
+    g = samples.part_seq(spark, d)
     return paths.st_path(g, 0, _target(g))
 
 
-@query(f"WITH RECURSIVE {LARGE}{SSSP_SQL}, {BFS_SQL.format(arcs='edges').split(' SELECT b.id, b.level')[0].lstrip(', ')} SELECT max(distance) AS distance FROM sp WHERE id = (SELECT id FROM bfs ORDER BY level DESC, id DESC LIMIT 1)")
+@query(f"WITH RECURSIVE {SEQ}{SSSP_SQL}, {BFS_SQL.format(arcs='edges').split(' SELECT b.id, b.level')[0].lstrip(', ')} SELECT max(distance) AS distance FROM sp WHERE id = (SELECT id FROM bfs ORDER BY level DESC, id DESC LIMIT 1)")
 def path_running_distance(spark: SparkSession, d: str) -> DataFrame:
-    g = samples.part_seq(spark, d, 45)
+    g = samples.part_seq(spark, d)
     return paths.st_path(g, 0, _target(g), "bi").agg(F.max("distance").alias("distance"))
 
 
 # --- coloring --------------------------------------------------------------
 
-PROPER_SQL = f"WITH {DEEP}, v AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges) SELECT CAST(0 AS BIGINT) AS conflicts, CAST(0 AS BIGINT) AS uncolored, true AS contiguous, count(*) AS vertices FROM v"
+PROPER_SQL = f"WITH {NEXT}, v AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges) SELECT CAST(0 AS BIGINT) AS conflicts, CAST(0 AS BIGINT) AS uncolored, true AS contiguous, count(*) AS vertices FROM v"
 
 
 def _report(g, found: DataFrame) -> DataFrame:  # noqa: ANN001
@@ -265,10 +316,10 @@ def _report(g, found: DataFrame) -> DataFrame:  # noqa: ANN001
 
 def _coloring(method: str) -> None:
     def colors(spark: SparkSession, d: str) -> DataFrame:
-        return coloring.color(samples.part_seq(spark, d, 48, directed=False), method)
+        return coloring.color(samples.part_next(spark, d, directed=False), method)
 
     def proper(spark: SparkSession, d: str) -> DataFrame:
-        g = samples.part_seq(spark, d, 48, directed=False)
+        g = samples.part_next(spark, d, directed=False)
         return _report(g, coloring.color(g, method))
 
     QUERIES[f"color_{method}"] = colors
@@ -276,21 +327,36 @@ def _coloring(method: str) -> None:
     SQL[f"color_{method}_proper"] = PROPER_SQL
 
 
-for _method in ("greedy", "welsh_powell", "dsatur_heap", "dsatur_recompute", "rlf", "sets", "iterated"):
+# one vertex a step: most colors beside it, most uncolored neighbours, then order of appearance
+SATURATION_SQL = f"""WITH RECURSIVE {NEXT}, {samples.BOTH_SQL}, seen AS (
+    SELECT src AS id, min(src * 4294967296 + dst) * 2 AS ord FROM edges GROUP BY 1 UNION ALL SELECT dst, min(src * 4294967296 + dst) * 2 + 1 FROM edges GROUP BY 1
+), first AS (SELECT id, min(ord) AS ord FROM seen GROUP BY id
+), near AS (SELECT src, dst, ord FROM arcs JOIN first ON id = src
+), colored(id, color) USING KEY (id) AS (
+    (SELECT src, 0 FROM near GROUP BY src, ord ORDER BY count(*) DESC, ord LIMIT 1) UNION
+    (SELECT id, (SELECT CAST(min(k) AS INTEGER) FROM range(100) t(k) WHERE NOT list_contains(used, k)) FROM (
+        SELECT n.src AS id, n.ord, coalesce(list(DISTINCT r.color) FILTER (WHERE r.color IS NOT NULL), []) AS used, count(*) FILTER (WHERE r.color IS NULL) AS open
+        FROM (SELECT 1 FROM colored LIMIT 1) JOIN near n ON true LEFT JOIN recurring.colored r ON r.id = n.dst WHERE NOT EXISTS (SELECT 1 FROM recurring.colored q WHERE q.id = n.src)
+        GROUP BY n.src, n.ord ORDER BY len(used) DESC, open DESC, n.ord LIMIT 1))
+) SELECT id, color FROM colored"""
+
+# one vertex a step, in order, with the smallest color that no neighbour has
+GREEDY_SQL = f"""WITH RECURSIVE {NEXT}, {samples.BOTH_SQL}, seen AS (
+    SELECT src AS id, min(src * 4294967296 + dst) * 2 AS ord FROM edges GROUP BY 1 UNION ALL SELECT dst, min(src * 4294967296 + dst) * 2 + 1 FROM edges GROUP BY 1
+), place AS (SELECT id, row_number() OVER (ORDER BY {{order}}) AS place FROM (SELECT id, min(ord) AS ord FROM seen GROUP BY id) JOIN (SELECT src AS id, count(*) AS degree FROM arcs GROUP BY 1) USING (id)
+), near AS (SELECT place, id, list(dst) AS beside FROM place JOIN arcs ON src = id GROUP BY place, id
+), colored(place, id, color) USING KEY (id) AS (
+    SELECT place, id, 0 FROM place WHERE place = 1 UNION
+    SELECT n.place, n.id, (SELECT CAST(min(k) AS INTEGER) FROM range(2000) t(k) WHERE NOT list_contains(s.used, k)) FROM (
+        SELECT n.place, n.id, coalesce(list(r.color) FILTER (WHERE list_contains(n.beside, r.id)), []) AS used FROM colored c JOIN near n ON n.place = c.place + 1, recurring.colored r GROUP BY n.place, n.id) s JOIN near n ON n.id = s.id
+) SELECT id, color FROM colored"""
+
+for _method in ("greedy", "welsh_powell", "dsatur", "dsatur_heap", "dsatur_recompute", "rlf", "sets", "iterated", "anneal", "anneal_partial", "tabu"):
     _coloring(_method)
-
-
-def _small(method: str) -> None:
-    def proper(spark: SparkSession, d: str) -> DataFrame:
-        g = samples.part_seq(spark, d, 50, directed=False)
-        return _report(g, coloring.color(g, method))
-
-    QUERIES[f"color_{method}_proper"] = proper
-    SQL[f"color_{method}_proper"] = PROPER_SQL.replace(DEEP, samples.part_seq_sql(50))
-
-
-for _method in ("dsatur", "anneal", "anneal_partial", "tabu"):
-    _small(_method)
+for _method in ("dsatur", "dsatur_heap", "dsatur_recompute"):
+    SQL[f"color_{_method}"] = SATURATION_SQL
+SQL["color_greedy"] = GREEDY_SQL.format(order="ord")
+SQL["color_welsh_powell"] = GREEDY_SQL.format(order="degree DESC, ord")
 
 
 @query("SELECT CAST(0 AS BIGINT) AS conflicts, CAST(0 AS BIGINT) AS uncolored, true AS contiguous, count(*) AS vertices FROM nation")
@@ -307,13 +373,13 @@ def color_exact_nations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(PROPER_SQL)
 def color_blocks_proper(spark: SparkSession, d: str) -> DataFrame:
-    g = samples.part_seq(spark, d, 48, directed=False)
+    g = samples.part_next(spark, d, directed=False)
     return _report(g, coloring.color_by_blocks(g))
 
 
-@query(f"WITH {DEEP}, {samples.BOTH_SQL}, deg AS (SELECT src AS id, count(*) AS degree FROM arcs GROUP BY src), shared AS (SELECT a.src AS id, b.src AS by, count(*) AS n FROM arcs a JOIN arcs b ON a.dst = b.dst AND a.src <> b.src GROUP BY 1, 2) SELECT s.id, min(s.by) AS by FROM shared s JOIN deg d ON d.id = s.id AND d.degree = s.n WHERE NOT EXISTS (SELECT 1 FROM arcs x WHERE x.src = s.id AND x.dst = s.by) GROUP BY s.id")
+@query(f"WITH {NEXT}, {samples.BOTH_SQL}, deg AS (SELECT src AS id, count(*) AS degree FROM arcs GROUP BY src), shared AS (SELECT a.src AS id, b.src AS by, count(*) AS n FROM arcs a JOIN arcs b ON a.dst = b.dst AND a.src <> b.src GROUP BY 1, 2) SELECT s.id, min(s.by) AS by FROM shared s JOIN deg d ON d.id = s.id AND d.degree = s.n WHERE NOT EXISTS (SELECT 1 FROM arcs x WHERE x.src = s.id AND x.dst = s.by) GROUP BY s.id")
 def dominated_vertices(spark: SparkSession, d: str) -> DataFrame:
-    return coloring.dominated_vertices(samples.part_seq(spark, d, 48, directed=False))
+    return coloring.dominated_vertices(samples.part_next(spark, d, directed=False))
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation")
@@ -321,22 +387,22 @@ def universal_vertices(spark: SparkSession, d: str) -> DataFrame:
     return coloring.universal_vertices(samples.nation_trade(spark, d))
 
 
-CLIQUE_SQL = f"WITH {DEEP}, e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges), t AS (SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b), f AS (SELECT t.a FROM t JOIN e p ON p.a = t.c JOIN e q ON q.a = t.b AND q.b = p.b JOIN e r ON r.a = t.a AND r.b = p.b LIMIT 1) SELECT CASE WHEN EXISTS (SELECT 1 FROM f) THEN 4 WHEN EXISTS (SELECT 1 FROM t) THEN 3 ELSE 2 END AS clique"
+CLIQUE_SQL = f"WITH {NEXT}, e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges), t AS (SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b), f AS (SELECT t.a FROM t JOIN e p ON p.a = t.c JOIN e q ON q.a = t.b AND q.b = p.b JOIN e r ON r.a = t.a AND r.b = p.b LIMIT 1) SELECT CASE WHEN EXISTS (SELECT 1 FROM f) THEN 4 WHEN EXISTS (SELECT 1 FROM t) THEN 3 ELSE 2 END AS clique"
 
 
 @query(CLIQUE_SQL)
 def clique_bound(spark: SparkSession, d: str) -> DataFrame:
-    return coloring.clique_bound(samples.part_seq(spark, d, 48))
+    return coloring.clique_bound(samples.part_next(spark, d))
 
 
 @query()
 def independent_set(spark: SparkSession, d: str) -> DataFrame:
-    return coloring.maximal_independent_set(samples.part_seq(spark, d, 48), 0)
+    return coloring.maximal_independent_set(samples.part_next(spark, d), 0)
 
 
 @query("SELECT CAST(0 AS BIGINT) AS inside, CAST(0 AS BIGINT) AS uncovered")
 def independent_set_check(spark: SparkSession, d: str) -> DataFrame:
-    g = samples.part_seq(spark, d, 48, directed=False)
+    g = samples.part_next(spark, d, directed=False)
     chosen = materialize(coloring.maximal_independent_set(g, 0), "set")
     arcs = g.without_loops().arcs().select("src", "dst")
     from_set = arcs.join(chosen.withColumnRenamed("id", "src"), "src", "left_semi")
@@ -350,7 +416,7 @@ def independent_set_check(spark: SparkSession, d: str) -> DataFrame:
 
 def _flow_query(method: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        g = samples.part_seq(spark, d, 48)
+        g = samples.part_next(spark, d)
         return flow.max_flow(g, 0, _target(g), method)
 
     QUERIES[f"max_flow_{method}"] = run
@@ -362,9 +428,8 @@ for _method in ("edmonds_karp", "dinitz", "preflow"):
 
 @query()
 def max_flow_relational(spark: SparkSession, d: str) -> DataFrame:
-    g = samples.part_seq(spark, d, 48)
-    target = traversal.bfs(g, 0, max_levels=2).agg(F.max_by("id", F.struct("level", "id"))).first()[0]
-    return flow.max_flow(g, 0, target, "edmonds_karp", "relational")
+    g = samples.part_next(spark, d)
+    return flow.max_flow(g, 0, _target(g), "edmonds_karp", "relational")
 
 
 @query("SELECT CAST(0 AS BIGINT) AS unbalanced, CAST(0 AS BIGINT) AS out_of_bounds, true AS cut_is_flow")
@@ -498,12 +563,20 @@ def run_lengths_binary(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("l_orderkey", codes.binary_runs(F.array_join(F.col("e.bit"), "")).alias("code"))
 
 
-@query()
+# a type's place: the types seen since its last time, or, at its first, all types seen and the smaller ones not yet seen
+MTF_SQL = """WITH e AS (SELECT user_id, event_id, event_type, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS last FROM events
+), seen AS (SELECT a.user_id, a.event_id, a.event_type, a.last, list(DISTINCT b.event_type) FILTER (WHERE b.event_type IS NOT NULL) AS types
+    FROM e a LEFT JOIN e b ON b.user_id = a.user_id AND b.event_id < a.event_id AND (a.last IS NULL OR b.event_id > a.last) GROUP BY ALL
+), place AS (SELECT user_id, event_id, len(coalesce(types, [])) + CASE WHEN last IS NULL THEN (SELECT count(DISTINCT event_type) FROM events x WHERE x.event_type < seen.event_type AND NOT list_contains(coalesce(types, []), x.event_type)) ELSE 0 END AS place FROM seen)
+SELECT user_id, string_agg(CAST(place AS VARCHAR), ' ' ORDER BY event_id) AS places FROM place GROUP BY user_id"""
+
+
+@query(MTF_SQL)
 def move_to_front(spark: SparkSession, d: str) -> DataFrame:
     events = samples.table(spark, d, "events")
     alphabet = events.agg(F.sort_array(F.collect_set("event_type")).alias("alphabet"))
     lists = events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))
-    return lists.crossJoin(alphabet).select("user_id", codes.move_to_front(F.col("e.event_type"), F.col("alphabet")).alias("places"))
+    return lists.crossJoin(alphabet).select("user_id", F.array_join(codes.move_to_front(F.col("e.event_type"), F.col("alphabet")).cast("array<string>"), " ").alias("places"))
 
 
 @query()
