@@ -144,25 +144,20 @@ def _spread_largest(ids: DataFrame, arcs: DataFrame) -> DataFrame:
 
 
 def bipartition(g: Graph) -> DataFrame:
-    """(id, side, component, bipartite): breadth-first parity from each component's smallest vertex."""
-    labels = materialize(connected_components(g), "labels")
-    u = g if not g.directed else Graph(g.edges, g.vertices, False)
-    arcs = u.arcs().select("src", "dst")
-    found = near = materialize(labels.where("id = component").select("id", F.lit(0).alias("side")), "near")
-    level = 0
-    while True:
-        level += 1
-        step = near.join(arcs, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (1 - F.col("side")).alias("side")).distinct()
-        near = materialize(step.join(found.select("id"), "id", "left_anti"), "near")
-        if near.isEmpty():
-            break
-        found = found.union(near)
-        if level % COMPACT == 0:
-            found = materialize(found, "found")
-    found = found.join(labels, "id")
-    ends = arcs.join(found.select(F.col("id").alias("src"), F.col("side").alias("a"), "component"), "src").join(found.select(F.col("id").alias("dst"), F.col("side").alias("b")), "dst")
-    odd = ends.where("a = b").select("component").distinct().withColumn("odd", F.lit(True))
-    return found.join(odd, "component", "left").select("id", "side", "component", F.col("odd").isNull().alias("bipartite"))
+    """(id, side, component, bipartite): the smallest vertex of a component is on side 0; a component with an odd cycle has null sides.
+
+    Components of the double cover, whose vertices are (id, side) and whose edges
+    change sides: a component is bipartite if its two copies stay apart. Rounds
+    grow with the logarithm of the vertices, whatever the distances. Ids must fit
+    62 bits, as a copy is numbered ``2 * id + side``.
+    """
+    u, v = F.col("src") * 2, F.col("dst") * 2
+    cover = g.edges.select(u.alias("u"), (v + 1).alias("v")).union(g.edges.select((u + 1).alias("u"), v.alias("v")))
+    alone = g.vertices.select((F.col("id") * 2).alias("u"), (F.col("id") * 2).alias("v"))
+    labels = component_labels(cover.union(alone).union(alone.select(F.col("u") + 1, F.col("v") + 1)))
+    ends = labels.groupBy(F.shiftright("id", 1).alias("id")).agg(F.min_by("component", "id").alias("a"), F.max_by("component", "id").alias("b"))
+    bipartite = F.col("a") != F.col("b")
+    return ends.select("id", F.when(bipartite, (F.col("a") % 2).cast("int")).alias("side"), F.shiftright("a", 1).alias("component"), bipartite.alias("bipartite"))
 
 
 def is_bipartite(g: Graph) -> DataFrame:

@@ -180,7 +180,7 @@ def strong_components(spark: SparkSession, d: str) -> DataFrame:
     SELECT id, 0 FROM cc WHERE id = component UNION
     SELECT a.dst, min(l.level) + 1 FROM level l JOIN arcs a ON l.id = a.src WHERE NOT EXISTS (SELECT 1 FROM recurring.level r WHERE r.id = a.dst) GROUP BY a.dst
 ), odd AS (SELECT DISTINCT component FROM arcs JOIN level a ON a.id = src JOIN level b ON b.id = dst JOIN cc ON cc.id = src WHERE a.level % 2 = b.level % 2)
-SELECT id, CAST(level % 2 AS INTEGER) AS side, component, component NOT IN (SELECT component FROM odd) AS bipartite FROM level JOIN cc USING (id)""")
+SELECT id, CASE WHEN component NOT IN (SELECT component FROM odd) THEN CAST(level % 2 AS INTEGER) END AS side, component, component NOT IN (SELECT component FROM odd) AS bipartite FROM level JOIN cc USING (id)""")
 def bipartite_sides(spark: SparkSession, d: str) -> DataFrame:
     return traversal.bipartition(samples.part_next(spark, d, k=1))
 
@@ -218,9 +218,9 @@ def bridge_edges(spark: SparkSession, d: str) -> DataFrame:
     return traversal.bridges(samples.part_next(spark, d, k=1))
 
 
-@query(BRIDGE_SQL)
+@query(BRIDGE_SQL.replace(FIRST, NEXT))
 def bridge_edges_relational(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.bridges(samples.part_next(spark, d, k=1), engine="relational")
+    return traversal.bridges(samples.part_next(spark, d), engine="relational")
 
 
 @query(f"WITH RECURSIVE {FIRST}{BLOCK_SQL}, ends AS (SELECT src AS id, name FROM named UNION SELECT dst, name FROM named) SELECT id FROM ends GROUP BY id HAVING count(*) > 1")
