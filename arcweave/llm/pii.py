@@ -11,6 +11,11 @@ of the key can invert it. Strings that only look like such a number stay.
 
 Only column expressions are used; the costly part runs on matches alone.
 
+There is no built-in key: whoever has the key can invert the pseudonyms, so
+the caller keeps it. A social security number has an area of 001 to 665 or 667
+to 899 (or 900 to 999, as for taxpayers without one), a group and a serial
+number other than zero; pseudonyms keep these rules, other numbers stay.
+
 Kept as they are: separators, an address's domain, a phone's country code, an
 IBAN's country. Dates are permuted among the days of 1800 to 2199 (ISO,
 day.month.year, month/day/year); others stay.
@@ -31,13 +36,12 @@ from pyspark.sql import functions as F
 from arcweave.llm.text import let
 
 ROUNDS = 8
-KEY = "arcweave"
 
 # Patterns, in the order they are tried at a place.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![./-]?\d)"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 SECRET = r"(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])"
@@ -147,11 +151,28 @@ def _mod97(text: Column) -> Column:
 
 
 def iban(text: Column, key: str) -> Column:
-    """A valid IBAN with its account permuted and its check digits made anew; any other string stays."""
+    """A valid IBAN, in one piece or in groups of four, with its account permuted and its check digits made anew; any other string stays."""
     country = F.substring(text, 1, 2)
-    account = _write(F.substring(text, 5, 40), key + "/iban", ALPHABETS)
-    new = let(account, lambda a: F.concat(country, F.lpad((98 - _mod97(F.concat(country, F.lit("00"), a))).cast("string"), 2, "0"), a))
-    return F.when(_mod97(text) == 1, new).otherwise(text)
+    account = _write(F.substring(text, 5, 50), key + "/iban", ALPHABETS)
+    closed = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    new = let(account, lambda a: F.concat(country, F.lpad((98 - _mod97(closed(F.concat(country, F.lit("00"), a)))).cast("string"), 2, "0"), a))
+    return F.when(_mod97(closed(text)) == 1, new).otherwise(text)
+
+
+def ssn(text: Column, key: str) -> Column:
+    """A number of valid area, group and serial as another one, of 900 and above as such; any other string stays."""
+    area, group, serial = (F.substring(text, at, n).cast("int") for at, n in ((1, 3), (5, 2), (8, 4)))
+    high = area >= 900
+    # areas in use are counted without 000 and 666
+    place = F.when(high, area - 900).otherwise(area - 1 - (area > 666).cast("int"))
+    symbols = F.array(_symbol(place, F.when(high, 100).otherwise(898)), _symbol(group - 1, F.lit(99)), _symbol(serial - 1, F.lit(9999)))
+
+    def written(p: Column) -> Column:
+        new = F.when(high, p[0]["v"] + 900).otherwise(p[0]["v"] + 1 + (p[0]["v"] >= 665).cast("int"))
+        return F.concat_ws("-", F.lpad(new.cast("string"), 3, "0"), F.lpad((p[1]["v"] + 1).cast("string"), 2, "0"), F.lpad((p[2]["v"] + 1).cast("string"), 4, "0"))
+
+    valid = ~area.isin(0, 666) & (group > 0) & (serial > 0)
+    return F.when(valid, let(permute(symbols, key + "/ssn"), written)).otherwise(text)
 
 
 def ip(text: Column, key: str) -> Column:
@@ -187,7 +208,7 @@ def pseudonym(found: Column, key: str) -> Column:
         .when(whole(DATE), date(found, key))
         .when(whole(IBAN), iban(found, key))
         .when(found.startswith("+"), F.concat(F.regexp_extract(found, r"^\+\d{1,3}", 0), _write(F.regexp_replace(found, r"^\+\d{1,3}", ""), key + "/phone", plain)))
-        .when(whole(SSN), _write(found, key + "/ssn", plain))
+        .when(whole(SSN), ssn(found, key))
         .when(whole(PHONE), _write(found, key + "/phone", plain))
         .when(whole(SECRET) & found.rlike("[a-f]"), _write(found, key + "/secret", HEX))
         .when(whole(CARD), card(found, key))
@@ -195,8 +216,10 @@ def pseudonym(found: Column, key: str) -> Column:
     )
 
 
-def pseudonymize(text: Column, key: str = KEY) -> Column:
+def pseudonymize(text: Column, key: str) -> Column:
     """Struct of the text with its personal data replaced, and how many matches changed."""
+    if not key:
+        raise ValueError("a secret key is needed")
     found = F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
     def replaced(old: Column) -> Column:
@@ -213,7 +236,7 @@ def pseudonymize(text: Column, key: str = KEY) -> Column:
     return let(found, replaced)
 
 
-def pseudonymize_documents(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
+def pseudonymize_documents(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The table with personal data in ``text`` replaced, and ``n_replaced`` beside it."""
     others = [c for c in docs.columns if c not in (text_col, "n_replaced")]
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others])
