@@ -46,10 +46,11 @@ FEW = 48
 LOW = (1 << 31) - 1
 HIGH = ((1 << 32) - 1) << 31
 
-#: Rows that a sorted run of neighbours holds, about; the most runs; and the ids looked at for each bound of a run.
+#: Rows that a sorted run of neighbours holds, about; the most runs; the places looked at for each bound of a run; and the characters of a text in a place.
 RUN = 500
 MAX_RUNS = 1 << 16
 LOOKS = 16
+TIE = 32
 
 
 def _words(text: Column) -> Column:
@@ -141,35 +142,38 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W, id_col: str = "doc_id"
 
 
 def with_next(rows: DataFrame, columns: list[str], id_col: str = "doc_id", tie_col: str = "text", derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Adds ``next_<column>`` of the following row in the order of id; one shuffle of the rows.
+    """Adds ``next_<column>`` of the following row in the order of id, then ``tie_col``; one shuffle of the rows.
 
     ``derive`` may add columns once rows are dealt to runs, so that they are not shuffled.
 
-    Ids picked by hash bound the runs: some ``LOOKS`` for each run, at most
-    ``MAX_RUNS`` times that many, of which every ``LOOKS``-th is taken, so runs
-    come out even. A run's first id is one of these, so a row knows by itself
-    whether it opens a run and goes to the run before as well, where it ends the
-    sequence.
+    Places in the order (whether the id is null, the id, the first ``TIE``
+    characters of the tie), picked by hash, bound the runs: some ``LOOKS`` for each
+    run, of which every ``LOOKS``-th is taken, so runs come out even, those of
+    null ids too; there are at most some ``MAX_RUNS``. A subquery gathers the
+    bounds, so the plan doesn't grow with them. A run's first place is its bound,
+    so a row knows by itself whether it opens a run and goes to the run before as
+    well, where it ends the sequence. Rows of one place are one run.
     """
-    ids = rows.select(F.col(id_col).alias("id"))
-    low, n = ids.agg(F.min("id"), F.count(F.lit(1))).first()
-    every = max(1, max(RUN, -(-n // MAX_RUNS)) // LOOKS)
-    picked = ids.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).distinct().collect() if n > RUN else []
-    bounds = sorted(r[0] for r in picked if r[0] is not None)[LOOKS::LOOKS]
-    bounds = sorted({low, *bounds}) if low is not None else []
-    if len(bounds) > 1:
-        starts = F.lit(bounds)
-        steps = [1 << s for s in range(len(bounds).bit_length() - 1, -1, -1)]
-        find = F.aggregate(F.lit(steps), F.lit(0), lambda at, s: F.when(F.get(starts, at + s) <= F.col(id_col), at + s).otherwise(at))
-        run = F.when(F.col(id_col).isNull(), len(bounds) - 1).otherwise(find)
-        opens = F.coalesce(F.get(starts, F.col("_run")) == F.col(id_col), F.lit(False))
-    else:
-        run = F.lit(0)
-        opens = F.coalesce(F.col(id_col) == F.lit(low), F.lit(False)) if bounds else F.lit(True)
-    last = max(0, len(bounds) - 1)
-    here = F.struct(F.col("_run").alias("run"), F.lit(0).alias("late"))
-    before = F.struct(F.when(F.col("_run") > 0, F.col("_run") - 1).otherwise(last).alias("run"), F.when(F.col("_run") > 0, 1).otherwise(2).alias("late"))
-    placed = rows.withColumn("_run", run).withColumn("_at", F.explode(F.when(opens, F.array(here, before)).otherwise(F.array(here))))
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.substring(tie_col, 1, TIE).alias("tie"))
+    every = max(1, max(RUN, -(-rows.count() // MAX_RUNS)) // LOOKS)
+    picked = F.collect_set(F.when(F.pmod(F.xxhash64("place"), F.lit(every)) == 0, F.col("place")))
+    ends = rows.select(place.alias("place")).agg(F.min("place").alias("least"), F.array_sort(picked).alias("picked"))
+    sparse = F.filter("picked", lambda _, i: (i > 0) & (i % LOOKS == 0))
+    bounds = ends.select(F.array_union(F.array("least"), sparse)).scalar()
+    steps = F.array(*[F.lit(1 << s) for s in range(MAX_RUNS.bit_length(), -1, -1)])
+
+    def dealt(starts: Column) -> Column:
+        """The runs that a row goes to: (run, late); late rows end the run before."""
+        run = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(starts, at + s) <= place, at + s).otherwise(at))
+
+        def both(at: Column) -> Column:
+            here = F.struct(at.alias("run"), F.lit(0).alias("late"))
+            before = F.struct(F.when(at > 0, at - 1).otherwise(F.size(starts) - 1).alias("run"), F.when(at > 0, 1).otherwise(2).alias("late"))
+            return F.when(F.get(starts, at) == place, F.array(here, before)).otherwise(F.array(here))
+
+        return let(run, both)
+
+    placed = rows.withColumn("_starts", bounds).withColumn("_at", let(F.col("_starts"), dealt)).drop("_starts").withColumn("_at", F.explode_outer("_at"))
     placed = placed.select(*rows.columns, F.col("_at.run").alias("_run"), F.col("_at.late").alias("_late")).repartition("_run")
     placed = derive(placed) if derive else placed
     order = Window.partitionBy("_run").orderBy("_late", F.col(id_col).asc_nulls_last(), F.col(tie_col))

@@ -97,6 +97,23 @@ def test_odd_tables(spark, docs):
     assert (5, 3, hashlib.sha256(b"a a").hexdigest()) in by and (5, 3, hashlib.sha256(b"b ").hexdigest()) in by
 
 
+def test_rows_without_an_id_are_dealt_to_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(winnow, "RUN", 50)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"{'common start ' * (k % 2)}{k * 7919 % 1009}") for k in range(3000)]
+    runs = []
+
+    def derive(placed):
+        runs.append(placed.where("_late = 0").groupBy("_run").count())
+        return placed
+
+    found = winnow.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), ["text"], derive=derive).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1].encode())
+    ordered = sorted(rows, key=key)
+    assert sorted((*key(r), r["next_text"]) for r in found) == sorted((*key(r), ordered[(k + 1) % len(ordered)][1]) for k, r in enumerate(ordered))
+    sizes = [r["count"] for r in runs[0].collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 300
+
+
 def test_guarantee():
     """Texts that share w + k - 1 words in a row share a chosen hash."""
     import random
