@@ -6,14 +6,14 @@ counts, and dense statistics of its structure and size. The score is
 taken in linear time as half of ``|sum v_i x_i|^2 - sum |v_i x_i|^2``.
 
 The machine is fitted on the driver by mini-batch Adagrad to at most
-``max_rows`` labelled rows (a documented bound; the rows with the smallest id
-hashes), and applied to every whole text. Labels, language, source and id are
+``max_rows`` labelled rows whose vectors have ``max_entries`` entries together (documented
+bounds; the rows with the smallest id hashes), and applied to every whole text. Labels, language, source and id are
 never features. Rows with ``crc32(id as text) mod 5 = 0`` are never learned from.
 
 Defined results: a null text is an empty one; empty texts are scored by their
 statistics; without labelled rows, or with one class alone, the score is the
 smoothed share of good labels; a label of null is no label; several labels of one
-id are several rows to learn from; repeated rows give repeated rows; an empty table gives an empty
+id are several rows to learn from, equal rows of texts one; repeated rows give repeated rows; an empty table gives an empty
 table; further columns are ignored.
 """
 
@@ -28,6 +28,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.plans.lineage import drop_materialized, materialize
+
 BUCKETS = 1 << 16
 RANK = 8
 REMEMBERED = 400_000
@@ -148,8 +150,8 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Machine:
-    """Fits the machine to at most ``max_rows`` labelled rows outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_entries: int = 1 << 24, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Machine:
+    """Fits the machine to at most ``max_rows`` labelled rows outside the held-out fold, and ``max_entries`` entries of vectors, 8 bytes each."""
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     # the smallest hashes of the ids: a sample of at most max_rows rows, whatever the table's size
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
@@ -165,7 +167,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, id_col: str
             arrays = [batch.column(0), batch.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in rows], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "label", "index", "value"])
 
-    rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text").mapInArrow(vectors, "doc_id long, label int, index binary, value binary").collect()
+    made = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text").mapInArrow(vectors, "doc_id long, label int, index binary, value binary")
+    keys = [F.xxhash64("doc_id").alias("hash"), F.col("doc_id"), F.col("label"), F.md5(F.concat("index", "value")).alias("digest")]
+    made = materialize(made.select(F.struct(*keys).alias("key"), F.octet_length("value").alias("bytes"), "index", "value"), "vectors")
+    # sizes come first, so that the driver asks for no more vectors than it can hold
+    sizes = made.groupBy("key").agg(F.first("bytes").alias("bytes")).orderBy("key").limit(max_rows).collect()
+    total, last = 0, None
+    for r in sizes:
+        total += r["bytes"] // 4
+        if total > max_entries:
+            break
+        last = r["key"]
+    chosen = made.where(F.col("key") <= F.struct(*[F.lit(x).alias(n) for n, x in last.asDict().items()])) if last else made.limit(0)
+    rows = chosen.groupBy("key").agg(F.first("index").alias("index"), F.first("value").alias("value")).select("key.doc_id", "key.label", "index", "value").collect()
+    drop_materialized(made)
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["value"]))
     return fit([(np.frombuffer(r["index"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4")) for r in rows], np.array([r["label"] for r in rows], dtype=float))
 

@@ -41,6 +41,19 @@ def test_labels_held_out_are_not_learned(tables):
     assert a.bias == b.bias and (a.linear == b.linear).all() and (a.factors == b.factors).all()
 
 
+def test_entries_are_bounded(docs, spark, monkeypatch):
+    """Rows beyond the bound are not learned from, and equal rows are one."""
+    seen = []
+    monkeypatch.setattr(c, "fit", lambda rows, labels: seen.append(sum(len(i) for i, _ in rows)))
+    texts = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(20)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    each = 40 + len(c.STATISTICS)
+    c.train(docs(texts), labels, max_entries=3 * each + 5)
+    c.train(docs(texts).union(docs(texts)), labels)
+    c.train(docs(texts), labels, max_entries=5)
+    assert 3 * each - 3 <= seen[0] <= 4 * each and seen[1] <= 20 * each and seen[2] == 0
+
+
 def test_odd_tables(docs, spark):
     labels = spark.createDataFrame([(0, 1), (1, 0), (2, None), (None, 1), (1, 0)], "doc_id long, quality int")
     texts = ["a b c", "### $$$", "", None, "w " * 50_000, "é\n\n😀"]
