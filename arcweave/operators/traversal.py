@@ -192,7 +192,7 @@ def biconnected_components(g: Graph) -> DataFrame:
     return on_components(g.undirected(), kernel, "src long, dst long, block string")
 
 
-def bridges(g: Graph, engine: str = "kernel") -> DataFrame:
+def bridges(g: Graph, engine: str = "auto") -> DataFrame:
     """(src, dst), src < dst: edges whose removal disconnects their component.
 
     The relational engine works on a spanning forest level by level: subtree
@@ -200,7 +200,7 @@ def bridges(g: Graph, engine: str = "kernel") -> DataFrame:
     subtree's other edges reach; a tree edge is a bridge if they stay inside.
     """
     u = g.undirected()
-    if engine == "kernel":
+    if engine == "kernel" or (engine == "auto" and u.small()):
         return on_components(u, lambda rows: sorted(search.lowpoints(_undirected_arcs(_renamed_ords(rows)))[1]), "src long, dst long")
     return _relational_bridges(u)
 

@@ -22,7 +22,8 @@ def programs(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 def plan_runs(datasets: DataFrame, progs: DataFrame) -> DataFrame:
     """(graph, program, file, source, target): pairs whose direction and weights fit and where the dataset is marked for the problem."""
-    marked = F.create_map(*[x for p in PROBLEMS for x in (F.lit(p), F.col(p))])
-    fits = F.array_contains("directed_ok", F.col("Directed")) & F.array_contains("weighted_ok", F.col("Weighted")) & (F.element_at(marked, F.col("problem")) == 1)
-    progs = progs.select(F.col("name").alias("program"), "problem", F.col("directed").alias("directed_ok"), F.col("weighted").alias("weighted_ok"))
-    return datasets.join(F.broadcast(progs), fits).select("graph", "program", F.concat("graph", F.lit("."), "ext", F.lit(".gz")).alias("file"), "source", "target")
+    marked = F.explode(F.array(*[F.when(F.col(p) == 1, F.lit(p)) for p in PROBLEMS]))
+    wanted = datasets.select("*", marked.alias("problem"))
+    takes = progs.select(F.col("name").alias("program"), "problem", F.explode(F.array_distinct("directed")).alias("Directed"), "weighted")
+    takes = takes.select("program", "problem", "Directed", F.explode(F.array_distinct("weighted")).alias("Weighted"))
+    return wanted.join(takes, ["problem", "Directed", "Weighted"]).select("graph", "program", F.concat("graph", F.lit("."), "ext", F.lit(".gz")).alias("file"), "source", "target")
