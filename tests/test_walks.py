@@ -136,3 +136,29 @@ def test_blocks_of_many_vertices_take_seconds():
     start = time.time()
     n = sparse(30_000)
     assert walks.blocks(n) and time.time() - start < 20
+
+
+def test_arcs_by_target(monkeypatch):
+    monkeypatch.setattr(arrays, "BLOCK", 7)
+    draw = random.Random(12)
+    for _ in range(40):
+        n = plain(draw, 20, 60)
+        into, start = arrays.by_target(n)
+        assert into.tolist() == np.argsort(n.to, kind="stable").tolist()
+        assert start.tolist() == np.r_[0, np.cumsum(np.bincount(n.to, minlength=n.size))].tolist()
+
+
+def test_arcs_by_target_need_little_memory():
+    """An index of all arcs in 8 bytes each takes three times the result and more."""
+    import tracemalloc
+
+    m = 1 << 22
+    n = arrays.Csr(np.arange(2), np.array([0, m, m]), np.random.default_rng(0).integers(0, 2, m).astype(np.int32))
+    monkey, arrays.BLOCK = arrays.BLOCK, 1 << 16
+    try:
+        tracemalloc.start()
+        arrays.by_target(n)
+        assert tracemalloc.get_traced_memory()[1] < 6 * m
+    finally:
+        tracemalloc.stop()
+        arrays.BLOCK = monkey
