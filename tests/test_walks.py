@@ -162,3 +162,24 @@ def test_arcs_by_target_need_little_memory():
     finally:
         tracemalloc.stop()
         arrays.BLOCK = monkey
+
+
+def test_compact_search_equals_joins(spark):
+    draw = random.Random(13)
+    for k in range(4):
+        g = made(spark, random_edges(draw), bool(k % 2))
+        root = g.edges.first()[0]
+        assert rows(traversal.bfs(g, root, engine="compact")) == rows(traversal.bfs(g, root, engine="kernel"))
+    assert rows(traversal.bfs(g, root, engine="compact", max_levels=1)) == rows(traversal.bfs(g, root, engine="kernel", max_levels=1))
+
+
+def test_flow_queries_search_in_one_task(spark, unlimited, monkeypatch):
+    """A search by joins writes a table a level, some hundred for a long way."""
+    import arcweave.queries as queries
+
+    g = made(spark, [(v, v + 1, 2.0, v) for v in range(60)])
+    monkeypatch.setattr(queries.samples, "part_next", lambda *a: g)
+    made_tables = []
+    monkeypatch.setattr(traversal, "materialize", lambda df, name="table": made_tables.append(name) or df)
+    found = queries.QUERIES["max_flow_preflow"](spark, "")
+    assert not made_tables and rows(found, "src", "flow")[0] == (0, 2.0) and found.count() == 60
