@@ -183,3 +183,14 @@ def test_flow_queries_search_in_one_task(spark, unlimited, monkeypatch):
     monkeypatch.setattr(traversal, "materialize", lambda df, name="table": made_tables.append(name) or df)
     found = queries.QUERIES["max_flow_preflow"](spark, "")
     assert not made_tables and rows(found, "src", "flow")[0] == (0, 2.0) and found.count() == 60
+
+
+@pytest.mark.parametrize("method", ["edmonds_karp"])
+def test_flow_queries_have_no_limit_of_edges(spark, method, unlimited, monkeypatch):
+    """The whole query, with the search for its target."""
+    import arcweave.queries as queries
+
+    g = made(spark, [(v, v + k, 4.0 - k, 9 * v + k) for v in range(20) for k in (1, 2) if v + k <= 20])
+    monkeypatch.setattr(queries.samples, "part_next", lambda *a: g)
+    found = queries.QUERIES[f"max_flow_{method}"](spark, "")
+    assert found.count() == 39 and rows(flow.flow_report(found, 0, 20)) == [(5.0, 0, 0)]
