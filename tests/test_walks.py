@@ -185,7 +185,7 @@ def test_flow_queries_search_in_one_task(spark, unlimited, monkeypatch):
     assert not made_tables and rows(found, "src", "flow")[0] == (0, 2.0) and found.count() == 60
 
 
-@pytest.mark.parametrize("method", ["edmonds_karp"])
+@pytest.mark.parametrize("method", ["edmonds_karp", "dinitz"])
 def test_flow_queries_have_no_limit_of_edges(spark, method, unlimited, monkeypatch):
     """The whole query, with the search for its target."""
     import arcweave.queries as queries
